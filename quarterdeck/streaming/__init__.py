@@ -1,0 +1,4 @@
+"""No stream operator exists: the product is a periodic batch over frozen snapshots.
+
+Late data is a batch matter here, settled by ``operators.upsert.latest_facts``.
+"""
