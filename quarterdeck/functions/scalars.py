@@ -104,7 +104,7 @@ def total(cols) -> Column:
 def mean_of(signals) -> tuple[Column, Column]:
     """(mean of the non-null signals, how many there are)."""
     n = total([s.isNotNull().cast("int") for s in signals])
-    return F.when(n > 0, total([F.coalesce(s, F.lit(0.0)) for s in signals]) / n), n
+    return F.try_divide(total([F.coalesce(s, F.lit(0.0)) for s in signals]), n), n
 
 
 def median_of(array) -> Column:
@@ -120,7 +120,7 @@ def array_sum(array) -> Column:
 def stdev_of(array) -> Column:
     """Sample standard deviation of a small array, NULL below two values."""
     n = F.size(array)
-    mean = array_sum(array) / n
+    mean = F.try_divide(array_sum(array), n)
     return F.when(n >= 2, F.sqrt(F.aggregate(array, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / (n - 1)))
 
 
@@ -128,7 +128,7 @@ def slope_of(array) -> Column:
     """Least-squares slope of an evenly spaced series held in array order."""
     n = F.size(array)
     mean_x = (n - 1) / F.lit(2.0)
-    mean_y = array_sum(array) / n
+    mean_y = F.try_divide(array_sum(array), n)
     num = array_sum(F.transform(array, lambda y, i: (i - mean_x) * (y - mean_y)))
     den = array_sum(F.transform(array, lambda y, i: (i - mean_x) * (i - mean_x)))
     return F.when(n >= 2, num / den)
