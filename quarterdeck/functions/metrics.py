@@ -1,10 +1,10 @@
 """Measures of a company from its newest-first period arrays ``ttm``, ``q`` and ``a``."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarterdeck.config import SCORING
-from quarterdeck.functions.scalars import cagr, mean_of, null, ratio, slope_of, total, yoy
+from quarterdeck.functions.scalars import cagr, ratio, slope_of, total, yoy
 from quarterdeck.operators.periods import field, trailing
 
 TAX, WACC, MIN_INVESTED = SCORING["tax_rate"], SCORING["wacc"], SCORING["min_invested_capital_ratio"]
@@ -35,10 +35,14 @@ def margin(p: Column, name: str) -> Column:
     return ratio(p[name], p["revenue"])
 
 
-def gross_margin_trend(n: int = SCORING["gross_margin"]["trend_quarters"]) -> Column:
+def gross_margins(n: int = SCORING["gross_margin"]["trend_quarters"]) -> Column:
+    """Gross margins of the newest n quarters that have one, oldest first."""
+    return trailing("q", n, lambda p: margin(p, "gross_profit"))
+
+
+def gross_margin_trend(series, n: int = SCORING["gross_margin"]["trend_quarters"]) -> Column:
     """M5: basis points a year."""
-    series = trailing("q", n, lambda p: margin(p, "gross_profit"))
-    return F.when(F.size(series) >= n, slope_of(series) * 4 * 10000)
+    return F.when(F.size(series) >= n, slope_of(F.col(series)) * 4 * 10000)
 
 
 def invested(p: Column) -> Column:
@@ -105,16 +109,16 @@ def revenue_sum(start: int, n: int = 4) -> Column:
     return total([field("q", i, "revenue") for i in range(start, start + n)])
 
 
-def mean_signal(*signals) -> tuple[Column, Column]:
-    return mean_of(list(signals))
-
-
 MEASURES = {
     "m_growth": revenue_growth, "m_cagr": revenue_cagr, "m_accel": acceleration,
     "m_gross_margin": lambda: margin(F.get("ttm", F.lit(0)), "gross_profit"),
     "m_operating_margin": lambda: margin(F.get("ttm", F.lit(0)), "operating_income"),
     "m_fcf_margin": lambda: margin(F.get("ttm", F.lit(0)), "fcf"),
-    "m_trend": gross_margin_trend, "m_roic": lambda: roic(F.get("ttm", F.lit(0))),
+    "m_trend": lambda: gross_margin_trend("gm_series"), "m_roic": lambda: roic(F.get("ttm", F.lit(0))),
     "m_runway": cash_runway, "m_net_cash": net_cash_share, "m_leverage": leverage, "m_opex_growth": opex_growth,
 }
-__all__ = ["MEASURES", "null"]
+
+
+def measured(snapshot: DataFrame) -> DataFrame:
+    """Adds all measures. Series come first, so that later rules read a column and the plan stays small."""
+    return snapshot.withColumn("gm_series", gross_margins()).withColumns({name: make() for name, make in MEASURES.items()})

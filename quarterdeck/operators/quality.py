@@ -1,10 +1,10 @@
-"""Red flags (Q1-Q9) as an array of (code, severity, evidence)."""
+"""Red flags (Q1-Q9) of a measured snapshot, as an array of (code, severity, evidence)."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarterdeck.config import QUALITY
-from quarterdeck.functions.metrics import cash_runway, leverage, margin, ttm
+from quarterdeck.functions.metrics import margin, ttm
 from quarterdeck.functions.scalars import ratio, yoy
 from quarterdeck.operators.periods import declining, field
 
@@ -17,9 +17,9 @@ def _flag(when, code: str, severity: str, **evidence) -> Column:
 
 def flag_columns(cfg=QUALITY) -> dict[str, Column]:
     years = cfg["revenue_decline_years"]
-    runway, lev = cash_runway(), leverage()
+    runway, lev = F.col("m_runway"), F.col("m_leverage")
     dilution = yoy(ttm("shares_diluted"), ttm("shares_diluted", 4))
-    now, prior = margin(F.get("ttm", F.lit(0)), "gross_profit"), margin(F.get("ttm", F.lit(4)), "gross_profit")
+    now, prior = F.col("m_gross_margin"), margin(F.get("ttm", F.lit(4)), "gross_profit")
     drop = (prior - now) * 10000
     sbc = ratio(ttm("sbc"), ttm("revenue"))
     critical, low = cfg["runway_critical_quarters"], cfg["runway_low_quarters"]

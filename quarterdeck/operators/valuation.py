@@ -127,35 +127,41 @@ def with_moat(df: DataFrame) -> DataFrame:
     }).drop("_v", "_seen", "_clear", "_missing", "_na")
 
 
-def driver_risks() -> dict[str, Column]:
-    """Risk of each measured driver, NULL when it cannot be measured."""
+def with_risks(df: DataFrame) -> DataFrame:
+    """Adds ``risk_<driver>``, NULL when the driver cannot be measured."""
     u = VALUATION["uncertainty"]
     n, need = u["lookback_quarters"], u["min_periods"]
-    yoys = F.filter(F.array(*[yoy(ttm("revenue", i), ttm("revenue", i + 4)) for i in range(n)]), lambda v: v.isNotNull())
-    margins = _observed("ttm", n, lambda p: ratio(p["operating_income"], p["revenue"]))
-    have = total([ttm(f).isNotNull().cast("int") for f in COMPLETENESS_FIELDS]) / len(COMPLETENESS_FIELDS)
-    return {
-        "revenue_predictability": curve(F.when(F.size(yoys) >= need, stdev_of(yoys)), u["revenue_curve"]),
-        "operating_leverage": curve(F.when(F.size(margins) >= need, stdev_of(margins)), u["margin_curve"]),
-        "financial_leverage": 1 - curve(C("m_leverage"), SCORING["balance_sheet"]["leverage_curve"]),
-        "data_completeness": curve(have, u["completeness_curve"]),
-        "business_concentration": null(),
-    }
+    growth = F.array(*[yoy(ttm("revenue", i), ttm("revenue", i + 4)) for i in range(n)])
+    df = df.withColumns({"_yoys": F.filter(growth, lambda v: v.isNotNull()),
+                         "_margins": _observed("ttm", n, lambda p: ratio(p["operating_income"], p["revenue"])),
+                         "_have": total([ttm(f).isNotNull().cast("int") for f in COMPLETENESS_FIELDS]) / len(COMPLETENESS_FIELDS)})
+    spread = lambda c: F.when(F.size(c) >= need, stdev_of(C(c)))
+    df = df.withColumns({"_yoy_sd": spread("_yoys"), "_margin_sd": spread("_margins")})
+    return df.withColumns({
+        "risk_revenue_predictability": curve("_yoy_sd", u["revenue_curve"]),
+        "risk_operating_leverage": curve("_margin_sd", u["margin_curve"]),
+        "risk_financial_leverage": 1 - curve("m_leverage", SCORING["balance_sheet"]["leverage_curve"]),
+        "risk_data_completeness": curve("_have", u["completeness_curve"]),
+        "risk_business_concentration": null(),
+    }).drop("_yoys", "_margins", "_have", "_yoy_sd", "_margin_sd")
+
+
+DRIVERS = ["revenue_predictability", "operating_leverage", "financial_leverage", "data_completeness", "business_concentration"]
 
 
 def with_uncertainty(df: DataFrame) -> DataFrame:
     """What could not be measured counts as the highest risk."""
     u = VALUATION["uncertainty"]
-    risks = driver_risks()
-    df = df.withColumns({f"_r_{k}": c for k, c in risks.items()})
-    mean, n = mean_of([C(f"_r_{k}") for k in risks])
-    trust = curve(n / (len(risks) - 1), u["coverage_curve"])
-    drivers = F.array(*[F.struct(F.lit(k).alias("key"), F.when(C(f"_r_{k}").isNull(), "UNAVAILABLE").otherwise("MEASURED").alias("status"),
-                                 C(f"_r_{k}").alias("risk")) for k in risks])
-    df = df.withColumns({"uncertainty_score": F.coalesce(mean, F.lit(1.0)) * trust + (1 - trust), "uncertainty_drivers": drivers})
+    df = with_risks(df)
+    mean, n = mean_of([C(f"risk_{k}") for k in DRIVERS])
+    df = df.withColumns({"_mean": F.coalesce(mean, F.lit(1.0)), "_covered": n / (len(DRIVERS) - 1)})
+    trust = curve("_covered", u["coverage_curve"])
+    drivers = F.array(*[F.struct(F.lit(k).alias("key"), F.when(C(f"risk_{k}").isNull(), "UNAVAILABLE").otherwise("MEASURED").alias("status"),
+                                 C(f"risk_{k}").alias("risk")) for k in DRIVERS])
+    df = df.withColumns({"uncertainty_score": C("_mean") * trust + (1 - trust), "uncertainty_drivers": drivers})
     s, lv = C("uncertainty_score"), u["levels"]
     return df.withColumn("uncertainty_level", F.when(s >= lv["severe"], "SEVERE").when(s >= lv["elevated"], "ELEVATED")
-                         .when(s >= lv["moderate"], "MODERATE").otherwise("MINIMAL")).drop(*[f"_r_{k}" for k in risks])
+                         .when(s >= lv["moderate"], "MODERATE").otherwise("MINIMAL")).drop("_mean", "_covered", *[f"risk_{k}" for k in DRIVERS])
 
 
 def with_valuation(measured: DataFrame) -> DataFrame:

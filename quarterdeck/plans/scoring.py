@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarterdeck import config
 from quarterdeck.operators import factors, peers, quality, valuation
+from quarterdeck.operators.checkpoint import cut
 
 
 def config_hash(*blocks) -> str:
@@ -22,10 +23,11 @@ def engine_versions() -> tuple[str, str]:
                                                               s["revenue_growth"]["blend"], s["balance_sheet"]["leverage_curve"]))
 
 
-def evaluate(snapshot: DataFrame) -> DataFrame:
-    """Flags, factors, total, category and valuation next to each snapshot row."""
-    flagged = quality.with_flags(snapshot)
-    return valuation.with_valuation(peers.classify(factors.with_total(factors.with_factors(flagged))))
+def evaluate(snapshot: DataFrame, stage=cut) -> DataFrame:
+    """Flags, factors, total, category and valuation next to each snapshot row. ``stage`` materialises what several
+    outputs read; it also keeps each plan small."""
+    scored = factors.with_total(factors.with_factors(quality.with_flags(stage(snapshot))))
+    return stage(valuation.with_valuation(peers.classify(stage(scored))))
 
 
 def outputs(evaluated: DataFrame, as_of: str) -> dict[str, DataFrame]:

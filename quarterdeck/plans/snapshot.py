@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarterdeck.config import RECONCILE
-from quarterdeck.functions.metrics import MEASURES, choose_shares
+from quarterdeck.functions.metrics import choose_shares, measured
 from quarterdeck.operators.changes import universe
 from quarterdeck.operators.peers import industry_stats
 from quarterdeck.operators.periods import period_arrays
@@ -64,10 +64,6 @@ def base_snapshot(companies, classification, industries, periods, market) -> Dat
     return full.withColumns({c: F.coalesce(F.col(c), F.array().cast(kind[c])) for c in _EMPTY})
 
 
-def measured(base: DataFrame) -> DataFrame:
-    return base.withColumns({name: make() for name, make in MEASURES.items()})
-
-
 def snapshot(companies, classification, industries, periods, market) -> DataFrame:
     """D1, both passes: measures, then the statistics of the industry next to each member."""
     rows = measured(base_snapshot(companies, classification, industries, periods, market))

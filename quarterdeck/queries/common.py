@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarterdeck.config import FLOW_FIELDS, PERIOD_FIELDS
+from quarterdeck.functions.metrics import measured
+from quarterdeck.operators.checkpoint import cut
 from quarterdeck.operators.peers import industry_stats
 from quarterdeck.operators.periods import trailing_year
 from quarterdeck.plans import snapshot as snap
@@ -23,11 +25,12 @@ def periods(t) -> DataFrame:
 
 
 def base(t) -> DataFrame:
-    return snap.measured(snap.base_snapshot(t.a_company, t.a_ci, t.a_industry, periods(t), t.a_market))
+    return measured(snap.base_snapshot(t.a_company, t.a_ci, t.a_industry, periods(t), t.a_market))
 
 
 def full(t) -> DataFrame:
-    rows = base(t)
+    """The complete snapshot. It is read several times from here on, so it is written out first."""
+    rows = cut(base(t))
     return rows.join(industry_stats(rows), "industry_slug", "left")
 
 
