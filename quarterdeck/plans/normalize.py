@@ -63,9 +63,15 @@ def normalize(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.drop("rejections"), period_ops.rejections(out)
 
 
+def failure_gate(outcomes: DataFrame) -> DataFrame:
+    """outcomes = (cik, failed). ``stop`` is set when most companies of a large enough set failed."""
+    sums = outcomes.agg(F.count(F.lit(1)).alias("companies"), F.count_if("failed").alias("failed"))
+    share = F.try_divide("failed", "companies")
+    return sums.withColumn("stop", F.coalesce((F.col("companies") >= INGEST["failure_min_sample"]) & (share > INGEST["failure_rate_threshold"]), F.lit(False)))
+
+
 def guard_failures(outcomes: DataFrame) -> None:
-    """outcomes = (cik, failed). Stops the run when most companies of a large enough set failed."""
-    row = outcomes.agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("bad")).first()
-    if row.n >= INGEST["failure_min_sample"] and row.bad / row.n > INGEST["failure_rate_threshold"]:
+    row = failure_gate(outcomes).first()
+    if row.stop:
         sample = [str(r.cik) for r in outcomes.where("failed").orderBy("cik").limit(INGEST["sample_size"]).collect()]
-        raise RuntimeError(f"{row.bad} of {row.n} companies failed to normalise, for example {', '.join(sample)}")
+        raise RuntimeError(f"{row.failed} of {row.companies} companies failed to normalise, for example {', '.join(sample)}")
