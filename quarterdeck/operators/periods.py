@@ -36,12 +36,12 @@ def trailing_year(quarters: DataFrame) -> DataFrame:
     span = F.datediff("period_end", F.lag("period_end", 3).over(w))
     tags = "source_tags" in quarters.columns
     rows = quarters.select("cik", "period_end", F.lit("TTM").alias("period_type"), *[c.alias(f) for f, c in sums.items()], *STOCKS,
-                           span.alias("_span"), *([_window_tags(w).alias("source_tags")] if tags else []))
+                           span.alias("_span"), *([window_tags(w).alias("source_tags")] if tags else []))
     kept = rows.where(F.col("_span").between(lo, hi)).withColumn("fcf", F.col("ocf") - F.col("capex"))
     return kept.select("cik", "period_end", "period_type", *PERIOD_FIELDS, *(["source_tags"] if tags else []))
 
 
-def _window_tags(w) -> Column:
+def window_tags(w) -> Column:
     """Per field the tag of the newest of the four quarters that has one, and which quarters were derived."""
     ago = lambda c, k: F.lag(c, k).over(w) if k else F.col(c)
     four = F.array(*[F.struct(ago("period_end", k).alias("end"), ago("source_tags", k).alias("tags")) for k in range(4)])

@@ -22,8 +22,7 @@ def require_columns(df: DataFrame, file: str, wanted: list[str]) -> DataFrame:
 
 def compact_date(text) -> Column:
     t = col(text)
-    return F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, F.lit("yyyyMMdd")) if hasattr(F, "try_to_date")
-                  else F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("date"))
+    return F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("date"))
 
 
 def _text(c) -> Column:
