@@ -255,15 +255,18 @@ _NAME = re.compile(r"\b[ao]_\w+\b")
 def expand(sql: str, registry: dict[str, str]) -> str:
     """Put the named mappings a statement uses in front of it as WITH clauses, in dependency order."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text):
         for name in dict.fromkeys(_NAME.findall(text)):
-            if name in registry and name not in order:
+            if name in registry and name not in order and name not in open_:
+                open_.add(name)
                 visit(registry[name])
                 order.append(name)
 
     visit(sql)
-    return sql if not order else "WITH " + ",\n".join(f"{n} AS ({registry[n]})" for n in order) + "\n" + sql
+    recursive = "RECURSIVE " if any(re.search(rf"FROM {n}\b", registry[n]) for n in order) else ""
+    return sql if not order else f"WITH {recursive}" + ",\n".join(f"{n} AS ({registry[n]})" for n in order) + "\n" + sql
 
 
 class Tables:
