@@ -165,13 +165,14 @@ def derived_marks(periods: DataFrame, factors: DataFrame) -> DataFrame:
     keep = {"TTM": 13, "Q": 8}
     rows = reduce(DataFrame.unionByName, [
         first_rows(periods.where(C("period_type") == k), ["cik"], [C("period_end").desc()], n) for k, n in keep.items()])
-    item = F.struct("rank", "revenue", "gross_profit", "operating_income", "fcf", "cash", "total_debt", "source_tags")
+    differenced = F.map_keys(F.map_filter("source_tags", lambda _, v: v == DERIVED)).alias("differenced")
+    item = F.struct("rank", "revenue", "gross_profit", "operating_income", "fcf", "cash", "total_debt", differenced)
     arr = lambda k: F.array_sort(F.collect_list(F.when(C("period_type") == k, item)))
     base = rows.groupBy("cik").agg(arr("TTM").alias("t"), arr("Q").alias("q"))
     raw = lambda k: F.max(F.when(C("factor_key") == k, C("raw")))
     shown = factors.groupBy("cik").agg(raw("revenue_growth").alias("g"), raw("revenue_acceleration").alias("x"))
     at = lambda i: F.get("t", F.lit(i))
-    from_diff = lambda p, f: F.coalesce(p["source_tags"][f] == DERIVED, F.lit(False))
+    from_diff = lambda p, f: F.coalesce(F.array_contains(p["differenced"], f), F.lit(False))
     any_of = lambda *fs: reduce(lambda a, b: a | b, [from_diff(at(0), f) for f in fs])
     far = F.when(yoy(at(0)["revenue"], at(4)["revenue"]).isNotNull(), from_diff(at(4), "revenue")).otherwise(from_diff(at(12), "revenue"))
     now = at(0)
