@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarterdeck.config import RECONCILE
 from quarterdeck.functions.scalars import same_number
+from quarterdeck.operators.pick import spread
 from quarterdeck.tags import WEIGHTED_SHARE_TAGS
 
 DAYS = RECONCILE["near_date_days"]
@@ -95,7 +96,8 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def clusters(evidence: DataFrame, facts: DataFrame) -> DataFrame:
     """R2: (cik, axis, period_end, canonical) of the dates that merge; the date with most api facts stands for all."""
-    linked = evidence.where("merge").select("cik", "axis", "a", "b").groupBy("cik", "axis").applyInPandas(
+    edges = spread(evidence.where("merge").select("cik", "axis", "a", "b"), ["cik", "axis"])
+    linked = edges.groupBy("cik", "axis").applyInPandas(
         _components, "cik long, axis string, period_end date, cluster date")
     counts = facts.where("source = 'api'").groupBy("cik", "period_end").agg(F.count(F.lit(1)).alias("n"))
     sized = linked.join(counts, ["cik", "period_end"])
@@ -120,10 +122,10 @@ def snap_dates(probes: DataFrame, grid: DataFrame) -> DataFrame:
             .select("cik", "axis", "qtrs", "period_end", F.coalesce("best.target", "period_end").alias("canonical")))
 
 
-def canonical_dates(facts: DataFrame) -> DataFrame:
-    """Every fact with its axis and canonical period end."""
+def canonical_dates(facts: DataFrame, stage=lambda df: df) -> DataFrame:
+    """Every fact with its axis and canonical period end. ``stage`` may materialise the merged dates, which are few."""
     rows = facts.withColumn("axis", axis())
-    merged = clusters(pair_evidence(facts), facts)
+    merged = stage(clusters(pair_evidence(facts), facts))
     api = (rows.where("source = 'api'").join(merged, ["cik", "axis", "period_end"], "left")
            .withColumn("canonical", F.coalesce("canonical", "period_end")))
     bulk = rows.where("source = 'bulk'")

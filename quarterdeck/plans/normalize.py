@@ -48,7 +48,7 @@ def annual_lines(flows: DataFrame, rejected: DataFrame) -> DataFrame:
 def normalize(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(periods with source_tags, rejections) of a fact log. All steps are keyed by company."""
     latest = cut(latest_facts(log.where(F.col("tag").isin(t.TRACKED_TAGS))))
-    dated = cut(dates.canonical_dates(latest))
+    dated = cut(dates.canonical_dates(latest, cut))
     values = cut(fact_ops.one_value(dated))
     keys = ["cik", "qtrs", "period_end"]
     flows = cut(flow_lines(fact_ops.wide(values.where("qtrs <> 0"), keys, t.FLOW_TAGS), keys))

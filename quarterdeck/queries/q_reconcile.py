@@ -70,7 +70,7 @@ def latest(t):
 
 
 def dated(t):
-    return cut(dates.canonical_dates(cut(latest(t))))
+    return cut(dates.canonical_dates(cut(latest(t)), cut))
 
 
 def values(t):
@@ -258,15 +258,15 @@ def w6(t):
 
 @query("R6_consistent_quarters", "SELECT q.cik, q.field, CAST(q.pos AS INT) AS pos, q.value FROM o_quarter q JOIN o_sound s ON s.cik = q.cik AND s.field = q.field AND s.from_pos = q.from_pos")
 def r6(t):
-    rows = ytd.stretches(numbered(t)).where("agrees")
+    rows = cut(ytd.stretches(numbered(t))).where("agrees")
     return rows.select("cik", "field", F.explode("qs").alias("q")).select("cik", "field", F.col("q.pos").alias("pos"), F.get("q.found", F.lit(0)).alias("value"))
 
 
 @query("R7_repaired_quarters")
 def r7(t):
     rows = numbered(t)
-    odd = ytd.stretches(rows).where("NOT agrees").select("cik", "field", "island").distinct()
-    return ytd.solve(rows).join(odd, ["cik", "field", "island"]).select("cik", "field", "island", "pos", "value", F.size("dropped").alias("dropped"))
+    odd = cut(ytd.stretches(rows)).where("NOT agrees").select("cik", "field", "island").distinct()
+    return ytd.solve(rows, cut).join(odd, ["cik", "field", "island"]).select("cik", "field", "island", "pos", "value", F.size("dropped").alias("dropped"))
 
 
 _YEAR = """SELECT cik, period_end, CAST(year(period_end) AS INT) AS y, CASE WHEN (cik + quarter(period_end)) % 5 = 0 THEN -3 * operating_income ELSE operating_income END AS v FROM a_q"""
