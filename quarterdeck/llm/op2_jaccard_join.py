@@ -200,7 +200,7 @@ def remainder(lists: DataFrame, reached: DataFrame, tried: DataFrame, percent: i
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def join(docs: DataFrame, text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = profiles(docs, "text", size, percent)

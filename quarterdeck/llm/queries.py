@@ -26,7 +26,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2_jaccard_join.join(table(spark, sf_dir, "documents"))
+    return op2_jaccard_join.join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
