@@ -9,7 +9,8 @@ common; a partner must occur on one of its short lists, those of its n - ceil(pe
    Two members can only reach T if what follows in both their orders is long enough, so most near misses are never paired.
 3. Stars: each list pairs its members with one pivot per size band, never with each other. Verified links join classes into components.
 4. Remainder: only list members of different components are paired. So a group of n near copies costs about n pairs, yet no link is lost.
-5. Verification, per pivot and block of its partners: the pivot's shingles are looked up as inverted lists over the block. Short lists are
+5. A pair must meet on T - L short lists, L being the number of long ones; this drops near misses before any whole set is read.
+6. Verification, per pivot and block of its partners: the pivot's shingles are looked up as inverted lists over the block. Short lists are
    merged with a heap, giving each partner's count so far; partners that can't reach T any more are dropped; long lists are probed by binary
    search for the rest.
 
@@ -94,7 +95,7 @@ def short_lists(classes: DataFrame, percent: int) -> DataFrame:
     wide = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))))
     wide = wide.selectExpr("*", f"first(key) over ({spec}) pkey", f"first(n) over ({spec}) pn", f"first(at) over ({spec}) pat",
                            "count(*) over (partition by s) members")
-    return staged(wide.filter("members > 1").drop("members"), "op2-lists")
+    return staged(wide.filter("members > 1").drop("members", "band"), "op2-lists")
 
 
 class DivideSkip:
@@ -136,6 +137,16 @@ class DivideSkip:
         return {k: c for k, c in out.items() if c >= needed[k]}
 
 
+def often_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that meet on T - L short lists or more, L being the number of long lists: what DivideSkip asks of the heap merge. Only
+    the rarest shingles of both ends are read for it."""
+    ends = classes.select("key", "n", "rare")
+    x, y = (ends.select(*[F.col(c).alias(f"{side}_{c}") for c in ends.columns]) for side in "xy")
+    met = pairs.join(x, pairs["a"] == x["x_key"]).join(y, pairs["b"] == y["y_key"])
+    needed = f"({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent} - greatest(x_n - size(x_rare), y_n - size(y_rare))"
+    return met.filter(f"size(array_intersect(x_rare, y_rare)) >= {needed}").select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class keys, which are doc_ids, that link. Only the texts of these documents are read again, picked by a table of
     2^BITS bits before they are shuffled."""
@@ -209,9 +220,9 @@ def join(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     tried = staged(lists.filter("key <> pkey").filter(reach("n", "at", "pn", "pat", percent)).select(F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")).distinct(), "op2-stars")
     member = rows.filter("sig is not null and doc_id is not null").select("doc_id", "sig").join(classes.select("sig", "key"), "sig").select("doc_id", "key")
     shared_id = member.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("a", "b")
-    first = verified(tried, docs, "text", size, percent)
+    first = verified(staged(often_enough(tried, classes, percent), "op2-pairs"), docs, "text", size, percent)
     reached = components(first)
-    rest = staged(remainder(lists, reached, tried, percent), "op2-rest")
+    rest = staged(often_enough(remainder(lists, reached, tried, percent), classes, percent), "op2-rest")
     links = reached.select(F.col("node").alias("a"), F.col("root").alias("b")).union(shared_id)
     if not rest.isEmpty():
         links = links.union(verified(rest, docs, "text", size, percent))
