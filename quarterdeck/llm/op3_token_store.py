@@ -51,12 +51,12 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens", []))])
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", end: int = END) -> DataFrame:
-    """Adds ids: those of the whole text and the end id, as little-endian unsigned 32-bit integers."""
+def encoded(docs: DataFrame, path: str, text: str = "text", end: int = END, width: str = "<u4") -> DataFrame:
+    """Adds ids: those of the whole text and the end id, as little-endian unsigned integers of `width`."""
 
     def start() -> Callable[[list], list[list]]:
         cache, last = library(path), np.array([end], "<u4").tobytes()
-        return lambda texts: [[ids + last for ids in cache.texts(texts)]]
+        return lambda texts: [[np.frombuffer(ids + last, "<u4").astype(width).tobytes() for ids in cache.texts(texts)]]
 
     return appended(docs, text, [T.StructField("ids", T.BinaryType())], start)
 
@@ -84,15 +84,8 @@ def write_store(docs: DataFrame, folder: str, path: str, key: str = "doc_id", te
     size = vocabulary_size(path)
     narrow = "<u2" if size <= 1 << 16 else "<u4"
 
-    def shrink() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = [np.frombuffer(b, "<u4").astype(narrow).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
-
-        return one
-
-    rows = encoded(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), path).select("key", "ids")
-    held = staged(mapped(rows, "key long, ids binary", shrink), "op3-ids")
+    rows = encoded(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), path, width=narrow)
+    held = staged(rows.select("key", "ids"), "op3-ids")
 
     def count() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from .pieces import PieceCache, byte_characters
 from .staging import appended
 
 _HELD: dict[tuple[str, str], tuple[PieceCache, list[bytes]]] = {}
+_BYTES: dict[str, list[bytes]] = {}
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -40,6 +41,17 @@ def parts_below(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]
     return parts
 
 
+def bytes_of(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    if path not in _BYTES:
+        ranks = ranks_of(path)
+        table = [b""] * (1 + max(ranks.values()))
+        for token, rank in ranks.items():
+            table[rank] = token
+        _BYTES[path] = table
+    return _BYTES[path]
+
+
 def library(path: str, pattern: str) -> tuple[PieceCache, list[bytes]]:
     """The library's encoder and the bytes of each id, once per worker process."""
     if (path, pattern) not in _HELD:
@@ -56,11 +68,7 @@ def library(path: str, pattern: str) -> tuple[PieceCache, list[bytes]]:
                     merges.append((shown(parts[0]), shown(parts[1])))
         tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        table = [b""] * (1 + max(ranks.values()))
-        for token, rank in ranks.items():
-            table[rank] = token
-        cache = PieceCache(tokenizer, pattern)
-        _HELD[path, pattern] = cache, table
+        _HELD[path, pattern] = PieceCache(tokenizer, pattern), bytes_of(path)
     return _HELD[path, pattern]
 
 
@@ -87,11 +95,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return appended(docs, text, fields, start)
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds decoded: the bytes of the ids, whole even where a token ends inside a character."""
 
     def start() -> Callable[[list], list[list]]:
-        _, table = library(path, pattern)
+        table = bytes_of(path)
         return lambda values: [[b"".join(map(table.__getitem__, np.frombuffer(v or b"", "<u4").tolist())) for v in values]]
 
     return appended(rows, ids, [T.StructField("decoded", T.BinaryType())], start)

@@ -8,6 +8,8 @@ pattern libraries may differ), go through the library's whole pipeline.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from string import punctuation
 from typing import Any
 
 import numpy as np
@@ -22,35 +24,50 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """Ids of pieces after a blank, made when first asked for; None for a piece that can't stand alone."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes | None:
+        ids = self[part] = self.make(part) if part and not part[-1].isspace() else None
+        return ids
+
+
 class PieceCache:
     """Ids of texts as little-endian unsigned 32-bit bytes. `tokenizer`: of the tokenizers library, byte-level, splitting by `pattern`.
     At most about `most` pieces are kept, short ones longest; this decides speed, not results."""
 
-    def __init__(self, tokenizer: Any, pattern: str, most: int = 400_000):
+    def __init__(self, tokenizer: Any, pattern: str, most: int = 300_000):
         import regex
 
         self.tokenizer, self.model, self.split, self.most = tokenizer, tokenizer.model, regex.compile(pattern).findall, most
         self.shown = dict(enumerate(byte_characters()))
-        self.known: dict[str, bytes | None] = {"": None}
+        self.known = _Pieces(self.piece)
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def merged(self, part: str) -> bytes:
-        shown = part.encode().decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+    def part(self, text: str) -> bytes:
+        """Ids of a part that the split rule leaves whole."""
+        ids = self.parts.get(text)
+        if ids is None:
+            shown = text.encode().decode("latin-1").translate(self.shown)
+            ids = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return ids
 
-    def piece(self, text: str) -> bytes:
+    def piece(self, text: str, blank: str = " ") -> bytes:
+        """Ids of a blank (or nothing) and a piece. A word with marks behind it is two parts; anything else is split by the rule."""
+        word = text.rstrip(punctuation)
+        if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
+            ids = self.part(blank + word)
+            return ids + self.part(text[len(word) :]) if len(word) < len(text) else ids
         if not _LATIN.fullmatch(text):
-            return self.whole(text)
-        parts, out = self.parts, []
-        for part in self.split(text):
-            ids = parts.get(part)
-            if ids is None:
-                ids = parts[part] = self.merged(part)
-            out.append(ids)
-        return b"".join(out)
+            return self.whole(blank + text)
+        return b"".join([self.part(p) for p in self.split(blank + text)])
 
     def texts(self, values: list[bytes | None]) -> list[bytes]:
         for held in (self.known, self.parts):
@@ -59,21 +76,13 @@ class PieceCache:
                     del held[key]
             if len(held) > self.most:
                 held.clear()
-        known = self.known
-        known[""] = None
-        split = [(value.decode("utf-8", "replace") if value else "").split(" ") for value in values]
-        met: set[str] = set()
-        for parts in split:
-            met.update(parts[1:])
-        for part in met.difference(known):
-            known[part] = None if part[-1].isspace() else self.piece(" " + part)
-        out: list[bytes] = []
-        for parts in split:
-            first = parts[0]
+        known, out = self.known, []
+        for value in values:
+            first, *rest = (value.decode("utf-8", "replace") if value else "").split(" ")
             try:
-                if len(parts) > 1 and (not first or first[-1].isspace()):
+                if rest and (not first or first[-1].isspace()):
                     raise TypeError
-                out.append(self.piece(first) + b"".join(map(known.__getitem__, parts[1:])))  # type: ignore[arg-type]
+                out.append(self.piece(first, "") + b"".join(map(known.__getitem__, rest)))
             except TypeError:  # a piece without ids of its own
-                out.append(self.whole(" ".join(parts)))
+                out.append(self.whole(" ".join([first, *rest])))
         return out
