@@ -57,7 +57,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = op9_byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
-    return op9_byte_bpe.decode(encoded, ranks, pattern).select("doc_id", "lang", "source", "n_tokens", "ids", whole.alias("round_trip"))
+    return op9_byte_bpe.decode(encoded, ranks).select("doc_id", "lang", "source", "n_tokens", "ids", whole.alias("round_trip"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("byte_bpe", byte_bpe)]
