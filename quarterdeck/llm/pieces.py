@@ -40,7 +40,7 @@ class PieceCache:
     """Ids of texts as little-endian unsigned 32-bit bytes. `tokenizer`: of the tokenizers library, byte-level, splitting by `pattern`.
     At most about `most` pieces are kept, short ones longest; this decides speed, not results."""
 
-    def __init__(self, tokenizer: Any, pattern: str, most: int = 300_000):
+    def __init__(self, tokenizer: Any, pattern: str, most: int = 450_000):
         import regex
 
         self.tokenizer, self.model, self.split, self.most = tokenizer, tokenizer.model, regex.compile(pattern).findall, most
@@ -72,7 +72,7 @@ class PieceCache:
     def texts(self, values: list[bytes | None]) -> list[bytes]:
         for held in (self.known, self.parts):
             if len(held) > self.most:
-                for key in [k for k in held if len(k) > 7]:
+                for key in [k for k in held if len(k) > 8]:
                     del held[key]
             if len(held) > self.most:
                 held.clear()
