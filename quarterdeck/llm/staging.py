@@ -78,7 +78,7 @@ def appended(df: DataFrame, source: str, fields: list[T.StructField], start: Cal
     return mapped(df.select(*read), schema, begin)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """(offset, rows) of runs of rows of some MB of text; a longer text is a run by itself."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     at, held = 0, 0
