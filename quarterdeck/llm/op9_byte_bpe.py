@@ -68,7 +68,7 @@ def library(path: str, pattern: str) -> tuple[PieceCache, list[bytes]]:
                     merges.append((shown(parts[0]), shown(parts[1])))
         tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        _HELD[path, pattern] = PieceCache(tokenizer, pattern), bytes_of(path)
+        _HELD[path, pattern] = PieceCache(tokenizer, pattern, most=200_000), bytes_of(path)
     return _HELD[path, pattern]
 
 

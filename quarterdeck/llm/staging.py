@@ -43,6 +43,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts have at most 1,000 rows: a session's larger setting is lowered, as a task holds several batches at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def mapped(df: DataFrame, schema: str | T.StructType, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with a function that `start` makes once per task, so that tables are built once and batches stay batches."""
 
@@ -52,6 +59,7 @@ def mapped(df: DataFrame, schema: str | T.StructType, start: Callable[[], Callab
             yield from work(batch)
 
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
