@@ -3,18 +3,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarterdeck.operators.checkpoint import cut
 
-def write_run(tables: dict[str, DataFrame], root: str) -> None:
-    """K8, K9: one folder per table, one partition per as_of. Only the partitions of this run are replaced, so a flag that
-    is gone disappears and earlier dates stay."""
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows already written, none if the folder is missing; only that error is expected."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return df.limit(0)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _replace_partitions(rows: DataFrame, path: str, column: str, touched: list) -> None:
+    """Writes the partitions of ``rows``; a touched partition that is left without rows is removed. ``touched`` is as short as the run's dates
+    or the buckets, never a list of companies."""
+    spark = rows.sparkSession
+    rows = cut(rows)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    filled = {r[0] for r in rows.select(column).distinct().collect()}
+    for value in set(touched) - filled:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_run(tables: dict[str, DataFrame], root: str, scored: DataFrame | None = None) -> None:
+    """K8, K9: one folder per table, one partition per as_of. ``scored`` names the (cik, as_of) of this run, by default those in any of its
+    tables: their rows are replaced, so a flag that is gone disappears, even the last one. Other companies and dates stay."""
+    if scored is None:
+        frames = [df.select("cik", "as_of") for df in tables.values()]
+        scored = frames[0]
+        for df in frames[1:]:
+            scored = scored.union(df)
+    scored = cut(scored.select("cik", "as_of").distinct())
+    dates = [r["as_of"] for r in scored.select("as_of").distinct().collect()]
     for name, df in tables.items():
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(f"{root}/{name}"))
+        path = f"{root}/{name}"
+        kept = _stored(df, path).where(F.col("as_of").isin(dates)).join(scored, ["cik", "as_of"], "left_anti")
+        _replace_partitions(df.unionByName(kept.select(*df.columns)), path, "as_of", dates)
 
 
-def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = 64) -> None:
-    """K6: periods spread over hash buckets of the company, so that a partial rerun rewrites only the buckets it touches."""
-    (df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).repartition("bucket").sortWithinPartitions(key)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = 64, batch: DataFrame | None = None) -> None:
+    """K6: periods spread over hash buckets of the company, so that a partial rerun rewrites only the buckets it touches. ``batch`` names the
+    companies of this run, by default those of ``df``; rows of other companies in a touched bucket stay. Choose ``buckets`` by the size of the
+    table when it is first written and keep it."""
+    bucket = F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
+    new = df.withColumn("bucket", bucket)
+    done = cut((df if batch is None else batch).select(key, bucket).distinct())
+    touched = [r["bucket"] for r in done.select("bucket").distinct().collect()]
+    kept = _stored(new, path).where(F.col("bucket").isin(touched)).join(done.select(key), key, "left_anti")
+    rows = new.unionByName(kept.select(*new.columns)).repartition("bucket", key).sortWithinPartitions("bucket", key)
+    _replace_partitions(rows, path, "bucket", touched)
 
 
 def run_stats(job: str, counts: DataFrame, status: str = "succeeded") -> DataFrame:

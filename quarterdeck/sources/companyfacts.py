@@ -30,6 +30,7 @@ def parse_company_facts(docs: DataFrame, text: str = "value") -> DataFrame:
         "cik", "tag", "unit", F.col("e.start").try_cast("date").alias("period_start"),
         F.col("e.end").try_cast("date").alias("period_end"), F.col("e.val").alias("value"), F.col("e.form").alias("form"),
         F.col("e.filed").try_cast("date").alias("filed_date"), F.col("e.accn").alias("accession"), F.lit("api").alias("source"))
+    rows = rows.where("period_end IS NOT NULL AND filed_date IS NOT NULL")
     return rows.withColumn("qtrs", derive_qtrs("period_start", "period_end"))
 
 

@@ -32,7 +32,7 @@ def _text(c) -> Column:
 def parse_sub(raw: DataFrame) -> DataFrame:
     """Usable filing headers out of all-text rows."""
     require_columns(raw, "sub.txt", SUB_COLUMNS)
-    return (raw.select("adsh", F.col("cik").try_cast("double").cast("long").alias("cik"), _text("form").alias("form"),
+    return (raw.select("adsh", F.col("cik").try_cast("double").try_cast("long").alias("cik"), _text("form").alias("form"),
                        compact_date("filed").alias("filed"))
             .where("adsh <> '' AND cik IS NOT NULL AND filed IS NOT NULL"))
 
@@ -42,7 +42,7 @@ def parse_num(raw: DataFrame) -> DataFrame:
     require_columns(raw, "num.txt", NUM_COLUMNS)
     parsed = raw.select(*[_text(c).alias(c) for c in ("adsh", "tag", "ddate", "uom", "coreg", "segments")],
                         F.col("qtrs").try_cast("double").alias("qtrs"), F.col("value").try_cast("double").alias("value"))
-    return parsed.where(finite("value") & finite("qtrs")).withColumn("qtrs", F.col("qtrs").cast("int"))
+    return parsed.where(finite("value") & finite("qtrs")).withColumn("qtrs", F.col("qtrs").try_cast("int")).where("qtrs IS NOT NULL")
 
 
 def extract_facts(num: DataFrame, sub: DataFrame, universe: DataFrame) -> DataFrame:
