@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '~', '~~'), '<s>', '<~s>'), '</s>', '<~/s>'), '[INST]', '[~INST]'), '[/INST]', '[~/INST]')"
-_WORDS = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 STATEMENTS: dict[str, str] = {
     "op4_chat_format": f"""
