@@ -4,8 +4,8 @@ A log has rows (conv_id, seq, turn, kind, role, text). `delta` appends text to a
 discards what a message has so far and its later deltas are the new text. An edit or a regeneration also discards every later message as it
 stood before: a conversation goes on from the changed turn.
 
-The fold is made of aggregations: events are first grouped by (conversation, turn), so a conversation with a third of all rows is the work of
-many tasks; a running maximum over its turns tells which events are void; the surviving deltas of each message are joined in sequence; only
+The fold is made of aggregations: events of a log are first grouped by (conversation, turn), so that a large conversation's events are the
+work of many tasks (as_log() numbers stored turns and needs a conversation's rows in one); a running maximum over its turns tells which events are void; the surviving deltas of each message are joined in sequence; only
 finished turns meet in one row per conversation, as the result demands. All of it is DataFrame functions.
 
 The template writes a turn as `<s>[INST] role [/INST]text</s>`. Inside roles and texts `~` becomes `~~`, and a `~` is put behind the first
