@@ -28,7 +28,6 @@ RECONCILE = {
     "max_span": 4,
     "quarter_days": 91.31,
     "span_tolerance_days": 20,
-    "max_search_constraints": 12,
     "implausible_ratio": 2,
     "ttm_span_days": (240, 310),
     "cover_min_fraction_of_basic": 0.4,
