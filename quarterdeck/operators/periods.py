@@ -61,21 +61,17 @@ def merge_tags(newest_first: Column) -> Column:
     return F.map_concat(merged, mark)
 
 
-def newest_first(periods: DataFrame, keep: int | None = None) -> DataFrame:
+def newest_first(periods: DataFrame) -> DataFrame:
     """``pos`` counts surviving rows of one period type from the newest; a gap shifts positions, it leaves no hole."""
     w = Window.partitionBy("cik", "period_type").orderBy(F.desc("period_end"))
-    out = periods.withColumn("pos", F.row_number().over(w) - 1)
-    return out if keep is None else out.where(F.col("pos") < keep)
-
-
-def period_arrays(periods: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """W2 as arrays: one row per company, newest first, no longer than the rules read. ``sizes`` maps type to length."""
-    longest = max(sizes.values())
-    rows = newest_first(periods, longest)
-    item = F.struct(F.col("pos"), F.col("period_end"), *PERIOD_FIELDS)
-    return rows.groupBy("cik").agg(*[
-        F.array_sort(F.collect_list(F.when((F.col("period_type") == kind) & (F.col("pos") < n), item))).alias(kind.lower())
-        for kind, n in sizes.items()])
+    return periods.withColumn("pos", F.row_number().over(w) - 1)
+
+
+def period_arrays(periods: DataFrame, kinds=("TTM", "Q", "A")) -> DataFrame:
+    """W2 as arrays: one row per company with all its periods, newest first, one array per type. A company's history is as long as its years."""
+    item = F.struct("period_end", *PERIOD_FIELDS)
+    return periods.groupBy("cik").agg(*[
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("period_type") == kind, item)))).alias(kind.lower()) for kind in kinds])
 
 
 def field(array: str, i: int, name: str) -> Column:

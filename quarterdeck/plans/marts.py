@@ -160,15 +160,15 @@ def headlines(industries: DataFrame) -> DataFrame:
                           F.max_by("industry_slug", F.when(C("median_revenue_growth").isNotNull(), F.struct("median_revenue_growth", "industry_slug"))).alias("fastest"))
 
 
+ACCELERATION_QUARTERS = 8  # two growth rates of two quarters each, a year apart
+
+
 def derived_marks(periods: DataFrame, factors: DataFrame) -> DataFrame:
     """Which shown values rest on differenced quarters. Positions are those of surviving rows; NULLs are never marked."""
-    keep = {"TTM": 13, "Q": 8}
-    rows = reduce(DataFrame.unionByName, [
-        first_rows(periods.where(C("period_type") == k), ["cik"], [C("period_end").desc()], n) for k, n in keep.items()])
     differenced = F.map_keys(F.map_filter("source_tags", lambda _, v: v == DERIVED)).alias("differenced")
-    item = F.struct("rank", "revenue", "gross_profit", "operating_income", "fcf", "cash", "total_debt", differenced)
-    arr = lambda k: F.array_sort(F.collect_list(F.when(C("period_type") == k, item)))
-    base = rows.groupBy("cik").agg(arr("TTM").alias("t"), arr("Q").alias("q"))
+    item = F.struct("period_end", "revenue", "gross_profit", "operating_income", "fcf", "cash", "total_debt", differenced)
+    arr = lambda k: F.reverse(F.array_sort(F.collect_list(F.when(C("period_type") == k, item))))
+    base = periods.where(C("period_type").isin("TTM", "Q")).groupBy("cik").agg(arr("TTM").alias("t"), arr("Q").alias("q"))
     raw = lambda k: F.max(F.when(C("factor_key") == k, C("raw")))
     shown = factors.groupBy("cik").agg(raw("revenue_growth").alias("g"), raw("revenue_acceleration").alias("x"))
     at = lambda i: F.get("t", F.lit(i))
@@ -178,7 +178,7 @@ def derived_marks(periods: DataFrame, factors: DataFrame) -> DataFrame:
     now = at(0)
     marks = {
         "growth": C("g").isNotNull() & (from_diff(now, "revenue") | far),
-        "acceleration": C("x").isNotNull() & F.exists("q", lambda p: from_diff(p, "revenue")),
+        "acceleration": C("x").isNotNull() & F.exists(F.slice("q", 1, ACCELERATION_QUARTERS), lambda p: from_diff(p, "revenue")),
         "gross_margin": ratio(now["gross_profit"], now["revenue"]).isNotNull() & any_of("revenue", "gross_profit"),
         "operating_margin": ratio(now["operating_income"], now["revenue"]).isNotNull() & any_of("revenue", "operating_income"),
         "fcf_margin": ratio(now["fcf"], now["revenue"]).isNotNull() & any_of("revenue", "ocf", "capex"),

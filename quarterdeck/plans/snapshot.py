@@ -10,8 +10,6 @@ from quarterdeck.operators.peers import industry_stats
 from quarterdeck.operators.periods import period_arrays
 from quarterdeck.operators.pick import best_row
 
-# newest periods any rule looks at: 12 steps back for the growth rate over three years, eight annual and quarterly rows
-DEPTH = {"TTM": 13, "Q": 8, "A": 8}
 _EMPTY = {"ttm", "q", "a"}
 
 
@@ -58,7 +56,7 @@ def base_snapshot(companies, classification, industries, periods, market) -> Dat
             .join(classification.select("cik", "industry_slug", "theme_slug", F.col("source").alias("classification_source")), "cik")
             .join(meta, "industry_slug", "left"))
     quotes = latest_market(market).select("cik", "price", F.col("date").alias("price_date"), "shares_outstanding", "market_cap", "shares_basis")
-    arrays = period_arrays(periods, DEPTH)
+    arrays = period_arrays(periods)
     full = head.join(quotes, "cik", "left").join(arrays, "cik", "left")
     kind = dict(arrays.dtypes)
     return full.withColumns({c: F.coalesce(F.col(c), F.array().cast(kind[c])) for c in _EMPTY})

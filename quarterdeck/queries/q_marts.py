@@ -146,7 +146,7 @@ def c16(t):
     return t.a_quotes.select("event_id", json_map("props", "map<string,double>")["k"].alias("k"))
 
 
-@query("D1_snapshot", "SELECT cik, ticker, industry_slug, theme_slug, source AS classification_source, price, market_cap, shares_basis, candidate_count, least(len(t), 13) AS ttm_rows, least(len(q), 8) AS quarter_rows, len(a) AS annual_rows, round(median_revenue_growth, 6) AS median_growth FROM o_full")
+@query("D1_snapshot", "SELECT cik, ticker, industry_slug, theme_slug, source AS classification_source, price, market_cap, shares_basis, candidate_count, len(t) AS ttm_rows, len(q) AS quarter_rows, len(a) AS annual_rows, round(median_revenue_growth, 6) AS median_growth FROM o_full")
 def d1(t):
     s = full(t)
     size = lambda c: F.size(c).cast("long")

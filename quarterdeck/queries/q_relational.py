@@ -124,7 +124,7 @@ def a3(t):
 @query("A4_ols_slope", """SELECT cik, round(regr_slope(g, -rn), 6) AS slope FROM (
   SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) AS rn, ocf / revenue AS g FROM a_q) x WHERE rn <= 8 GROUP BY cik""")
 def a4(t):
-    rows = pf.period_arrays(t.a_q, {"Q": 8}).withColumn("s", pf.trailing("q", 8, lambda p: p["ocf"] / p["revenue"]))
+    rows = pf.period_arrays(t.a_q, ["Q"]).withColumn("s", pf.trailing("q", 8, lambda p: p["ocf"] / p["revenue"]))
     return rows.select("cik", r(sc.slope_of(F.col("s"))).alias("slope"))
 
 
@@ -224,13 +224,13 @@ def w4(t):
 
 @query("W8_declining_streak", "SELECT cik, coalesce(len(q) >= 3 AND q[1].revenue < q[2].revenue AND q[2].revenue < q[3].revenue, false) AS declining FROM o_arr_q")
 def w8(t):
-    return pf.period_arrays(t.a_q, {"Q": 8}).select("cik", pf.declining("q", 2).alias("declining"))
+    return pf.period_arrays(t.a_q, ["Q"]).select("cik", pf.declining("q", 2).alias("declining"))
 
 
 @query("W9_trailing_series", f"""SELECT cik, count(g) AS n, round(max(g), 6) AS highest, round(max_by(g, rn) FILTER (g IS NOT NULL), 6) AS oldest FROM (
   SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) AS rn, {ratio_sql('gross_profit', 'revenue')} AS g FROM a_q) x WHERE rn <= 8 GROUP BY cik""")
 def w9(t):
-    s = pf.period_arrays(t.a_q, {"Q": 8}).select("cik", metrics.gross_margins().alias("s"))
+    s = pf.period_arrays(t.a_q, ["Q"]).select("cik", metrics.gross_margins().alias("s"))
     return s.select("cik", F.size("s").cast("long").alias("n"), r(F.array_max("s")).alias("highest"), r(F.get("s", F.lit(0))).alias("oldest"))
 
 

@@ -121,11 +121,11 @@ def tax(t):
     return taxonomy.load_taxonomy(t.spark, ["6770", "3100"])
 
 
-ORACLE["o_ind"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{th}', '{n}')" for s, th, n in taxonomy.industry_rows()) + ") v(slug, theme, name)"
-ORACLE["o_sic"] = ("SELECT v.sic, i.theme, v.industry FROM (VALUES " + ", ".join(f"('{c}', '{i}')" for i, cs in taxonomy.SIC_CODES.items() for c in cs.split())
+ORACLE["o_ind"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{th}', '{n}')" for s, th, n in taxonomy.INDUSTRIES) + ") v(slug, theme, name)"
+ORACLE["o_sic"] = ("SELECT v.sic, i.theme, v.industry FROM (VALUES " + ", ".join(f"('{c}', '{i}')" for c, i in taxonomy.SIC_CODES)
                    + ") v(sic, industry) JOIN o_ind i ON i.slug = v.industry")
-ORACLE["o_ovr"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{i}')" for i, xs in taxonomy.OVERRIDES.items() for x in xs.split()) + ") v(ticker, industry)"
-ORACLE["o_rev"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in taxonomy.RESIDUAL_REVIEWED.split()) + ") v(sic)"
+ORACLE["o_ovr"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{i}')" for x, i in taxonomy.OVERRIDES) + ") v(ticker, industry)"
+ORACLE["o_rev"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in taxonomy.RESIDUAL_REVIEWED) + ") v(sic)"
 ORACLE["o_class"] = """
 SELECT r.*, upper(k.ticker) AS ticker, coalesce(o.industry, s.industry) AS industry_slug, CASE WHEN o.industry IS NOT NULL THEN oi.theme ELSE s.theme END AS theme_slug,
        CASE WHEN o.industry IS NOT NULL THEN 'override' WHEN s.industry IS NOT NULL THEN 'sic' END AS source

@@ -124,7 +124,7 @@ def company(spark, cap=3e9, price=10.0, **over):
     base.update(over)
     value = lambda f, i: base[f](i) if callable(base[f]) else base[f]
     rows = [(1, ENDS[-1 - i], kind, *[value(f, i) for f in PERIOD_FIELDS]) for kind, n in (("TTM", 13), ("Q", 8), ("A", 8)) for i in range(n)]
-    arrays = __import__("quarterdeck.operators.periods", fromlist=["x"]).period_arrays(spark.createDataFrame(rows, schemas.PERIOD), snapshot.DEPTH)
+    arrays = __import__("quarterdeck.operators.periods", fromlist=["x"]).period_arrays(spark.createDataFrame(rows, schemas.PERIOD))
     df = arrays.withColumns({"market_cap": F.lit(cap).cast("double"), "price": F.lit(price).cast("double"), "shares_outstanding": F.lit(1e8),
                              "industry_slug": F.lit("x"), "tam_usd": F.lit(None).cast("double"), "tam_cagr": F.lit(0.1), "candidate_count": F.lit(5),
                              "median_gross_margin": F.lit(0.4), "median_revenue_growth": F.lit(0.1)})
