@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarterdeck.config import FLOW_FIELDS, PERIOD_FIELDS, RECONCILE
-from quarterdeck.functions.scalars import null, total
+from quarterdeck.functions.scalars import total
 
 STOCKS = ["cash", "total_debt", "equity", "shares_diluted", "shares_outstanding"]
 DERIVED = "cumulative_diff"
@@ -90,7 +90,3 @@ def trailing(array: str, n: int, value) -> Column:
     """The non-null values of the newest n rows, oldest first. ``value`` maps a period struct to a Column."""
     values = F.transform(F.slice(array, 1, n), value)
     return F.reverse(F.filter(values, lambda v: v.isNotNull()))
-
-
-def empty_tags() -> Column:
-    return null("map<string,string>")

@@ -43,11 +43,11 @@ def classify(df: DataFrame, taxonomy) -> DataFrame:
     home = taxonomy.industries.select(F.col("slug").alias("ov_industry"), F.col("theme_slug").alias("_home"))
     overrides = (taxonomy.overrides.where("industry IS NOT NULL")
                  .select(F.upper("ticker").alias("_ticker"), F.col("industry").alias("ov_industry"), F.col("theme").alias("_ov_theme"))
-                 .join(F.broadcast(home), "ov_industry", "left"))
+                 .join(home, "ov_industry", "left"))
     codes = taxonomy.sic_map.select(F.col("sic").alias("_sic"), F.col("industry").alias("_industry"), F.col("theme").alias("_theme"))
     hit = F.col("ov_industry").isNotNull()
-    return (df.join(F.broadcast(overrides), F.upper("ticker") == F.col("_ticker"), "left")
-            .join(F.broadcast(codes), F.col("sic") == F.col("_sic"), "left")
+    return (df.join(overrides, F.upper("ticker") == F.col("_ticker"), "left")
+            .join(codes, F.col("sic") == F.col("_sic"), "left")
             .withColumn("industry_slug", F.coalesce("ov_industry", "_industry"))
             .withColumn("theme_slug", F.when(hit, F.coalesce("_ov_theme", "_home")).otherwise(F.col("_theme")))
             .withColumn("source", F.when(hit, "override").when(F.col("_industry").isNotNull(), "sic"))
@@ -65,7 +65,7 @@ def decide(tickers: DataFrame, listings: DataFrame, reference: DataFrame, taxono
             .withColumn("ticker", F.col("_key")).drop("_key").join(ref, "cik", "left"))
     rows = classify(rows, taxonomy)
     reviewed = taxonomy.residual_reviewed.select(F.col("sic").alias("_rev"))
-    rows = rows.join(F.broadcast(reviewed), F.col("sic") == F.col("_rev"), "left")
+    rows = rows.join(reviewed, F.col("sic") == F.col("_rev"), "left")
     decision = (F.when(F.col("found").isNull(), "LOOKUP_FAILED")
                 .when(F.col("entity_type") != "operating", "NOT_OPERATING")
                 .when(F.col("sic").isin(cfg["exclude_sic"]), "EXCLUDED_SIC")
@@ -89,4 +89,4 @@ def settle(decisions: DataFrame) -> DataFrame:
 def unmapped_codes(decisions: DataFrame, taxonomy) -> DataFrame:
     """codes nobody decided about yet."""
     seen = decisions.where("decision = 'UNCLASSIFIABLE' AND sic IS NOT NULL").select("sic").distinct()
-    return seen.join(F.broadcast(taxonomy.unmapped), "sic", "left_anti")
+    return seen.join(taxonomy.unmapped, "sic", "left_anti")

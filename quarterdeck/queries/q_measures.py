@@ -26,10 +26,6 @@ def flagship(t):
     return top.select("industry_slug", "cik", "ticker", r("m_growth").alias("growth"), r("s").alias("score"), "rank")
 
 
-def _fin(t):
-    return t.a_q
-
-
 @query("C1_curve", f"SELECT cik, period_end, round({curve_sql('x', SCORING['damping_curve'])}, 6) AS y FROM (SELECT cik, period_end, revenue AS x FROM a_q) v")
 def c1(t):
     return t.a_q.select("cik", "period_end", r(sc.curve("revenue", SCORING["damping_curve"])).alias("y"))

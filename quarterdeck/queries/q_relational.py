@@ -54,23 +54,23 @@ def j6(t):
     return best_row(t.a_q.select("cik", "period_end", "revenue"), ["cik"], [F.col("period_end")])
 
 
-@query("J7_latest_market_cap", "SELECT c.cik, (SELECT m.market_cap FROM a_market m WHERE m.cik = c.cik ORDER BY m.date DESC LIMIT 1) AS market_cap FROM a_company c")
+@query("J7_latest_market_cap", "SELECT cik, x.market_cap FROM a_company LEFT JOIN (SELECT cik, arg_max_null(market_cap, date) AS market_cap FROM a_market GROUP BY cik) x USING (cik)")
 def j7(t):
     caps = t.a_market.groupBy("cik").agg(F.max_by("market_cap", "date").alias("market_cap"))
     return t.a_company.select("cik").join(caps, "cik", "left")
 
 
-_CNT = "(SELECT count(*) FROM o_flags f WHERE f.cik = s.cik AND f.severity = '{0}')"
-
-
-@query("J8_flag_counts", f"SELECT s.cik, {_CNT.format('CRITICAL')} AS critical, {_CNT.format('WARNING')} AS warning FROM o_snap s")
+@query("J8_flag_counts", """SELECT cik, coalesce(x.critical, 0) AS critical, coalesce(x.warning, 0) AS warning FROM o_snap LEFT JOIN (
+  SELECT cik, count_if(severity = 'CRITICAL')::BIGINT AS critical, count_if(severity = 'WARNING')::BIGINT AS warning FROM o_flags GROUP BY cik) x USING (cik)""")
 def j8(t):
     from quarterdeck.operators import quality
     rows = quality.with_flags(base(t))
     return rows.select("cik", marts.flag_count("CRITICAL").alias("critical"), marts.flag_count("WARNING").alias("warning"))
 
 
-@query("J9_factor_lookup", "SELECT s.cik, (SELECT round(f.raw, 6) FROM o_factors f WHERE f.cik = s.cik AND f.factor_key = 'revenue_growth') AS growth, (SELECT round(f.raw, 6) FROM o_factors f WHERE f.cik = s.cik AND f.factor_key = 'revenue_acceleration') AS acceleration FROM o_snap s")
+@query("J9_factor_lookup", """SELECT cik, round(x.growth, 6) AS growth, round(x.acceleration, 6) AS acceleration FROM o_snap LEFT JOIN (
+  SELECT cik, max(raw) FILTER (factor_key = 'revenue_growth') AS growth, max(raw) FILTER (factor_key = 'revenue_acceleration') AS acceleration
+  FROM o_factors GROUP BY cik) x USING (cik)""")
 def j9(t):
     from quarterdeck.operators import factors as fx
     from quarterdeck.queries.q_scores import scored

@@ -23,19 +23,3 @@ MARKET = _struct(cik=_L, date=T.DateType(), price=_D, shares_outstanding=_D, mar
                  shares_basis=_S, load_seq=_L)
 JOB_RUN = _struct(job=_S, started_at=T.TimestampType(), finished_at=T.TimestampType(), status=_S,
                   stats=T.MapType(_S, _S), error=_S)
-
-# Allowed values of the coded columns.
-CODES = {
-    "source": ["bulk", "api"],
-    "shares_basis": ["reported", "diluted_fallback"],
-    "period_type": ["Q", "A", "TTM"],
-    "classification_source": ["sic", "override"],
-    "factor_status": ["SCORED", "NO_DATA", "NOT_IMPLEMENTED"],
-    "severity": ["CRITICAL", "WARNING"],
-    "fair_value_status": ["OK", "INSUFFICIENT_DATA"],
-    "price_status": ["OK", "UNAVAILABLE"],
-    "valuation_status": ["UNDERVALUED", "FAIRLY_VALUED", "OVERVALUED"],
-    "moat_signal": ["PERSISTENT", "INTERMITTENT", "ABSENT", "INSUFFICIENT_DATA"],
-    "moat_reason": ["TOO_FEW_PERIODS", "MISSING_FINANCIALS", "NOT_APPLICABLE"],
-    "uncertainty_level": ["MINIMAL", "MODERATE", "ELEVATED", "SEVERE"],
-}
