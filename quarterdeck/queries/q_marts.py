@@ -12,9 +12,6 @@ from quarterdeck.queries.adapter import AS_OF
 from quarterdeck.queries.common import DAY, ORACLE, full, periods, r
 from quarterdeck.queries.registry import query
 
-# the companies with this key were listed after the last scoring run
-_UNSCORED = "cik % 13 = 4"
-
 
 def _date():
     return F.lit(AS_OF).cast("date")
@@ -32,7 +29,6 @@ def tables(t, valuations: bool = False) -> dict:
         out = {"scores": scored.select("cik", day, "score", "completeness", "category"),
                "score_factors": fx.factor_rows(scored).select("cik", day, "factor_key", "raw", "points", "weight", "status", "detail"),
                "red_flags": quality.flag_rows(scored).select("cik", day, "code", "severity")}
-    out = {name: df.where(f"NOT ({_UNSCORED})") for name, df in out.items()}
     return {**out, "companies": t.a_company, "company_industry": t.a_ci, "market_data": t.a_market, "industries": t.a_industry, "themes": t.a_theme}
 
 
@@ -41,12 +37,13 @@ def rows(t):
 
 
 ORACLE["o_rows"] = f"""
-SELECT s.cik, s.ticker, s.name, s.industry_slug, s.market_cap, CASE WHEN NOT (s.{_UNSCORED}) THEN t.score END AS score, CASE WHEN NOT (s.{_UNSCORED}) THEN t.completeness END AS completeness,
-  CASE WHEN NOT (s.{_UNSCORED}) THEN c.category END AS category, CASE WHEN NOT (s.{_UNSCORED}) THEN coalesce(m_growth, m_cagr) END AS revenue_growth,
-  CASE WHEN NOT (s.{_UNSCORED}) THEN m_accel END AS acceleration,
-  CASE WHEN s.{_UNSCORED} THEN 0 ELSE (SELECT count(*) FROM o_flags f WHERE f.cik = s.cik AND f.severity = 'CRITICAL') END AS critical_count,
-  CASE WHEN s.{_UNSCORED} THEN 0 ELSE (SELECT count(*) FROM o_flags f WHERE f.cik = s.cik AND f.severity = 'WARNING') END AS warning_count, s.t0
-FROM o_met s LEFT JOIN o_total t ON t.cik = s.cik LEFT JOIN o_category c ON c.cik = s.cik"""
+SELECT s.cik, s.ticker, s.name, s.industry_slug, s.market_cap, t.score, t.completeness,
+  c.category, coalesce(m_growth, m_cagr) AS revenue_growth,
+  m_accel AS acceleration,
+  coalesce(f.critical, 0) AS critical_count,
+  coalesce(f.warning, 0) AS warning_count, s.t0
+FROM o_met s LEFT JOIN o_total t ON t.cik = s.cik LEFT JOIN o_category c ON c.cik = s.cik
+LEFT JOIN (SELECT cik, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning FROM o_flags GROUP BY cik) f ON f.cik = s.cik"""
 _OK = "(completeness IS NULL OR completeness >= 0.6)"
 ORACLE["o_cand"] = f"SELECT * FROM o_rows WHERE score IS NOT NULL AND category IS DISTINCT FROM 'LEADER' AND {_OK}"
 ORACLE["o_indrow"] = f"""
@@ -104,7 +101,7 @@ def t4(t):
     return ordered.select("theme_slug", "industry_slug", F.row_number().over(w).alias("place"))
 
 
-ORACLE["o_fill"] = f"SELECT *, points / weight AS fill FROM o_factors WHERE status = 'SCORED' AND NOT ({_UNSCORED})"
+ORACLE["o_fill"] = f"SELECT *, points / weight AS fill FROM o_factors WHERE status = 'SCORED'"
 
 
 def factor_table(t):

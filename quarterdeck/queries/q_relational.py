@@ -21,18 +21,18 @@ def j1(t):
     return marts.dimension_chain(t.a_company, t.a_ci, t.a_industry, t.a_theme).select("cik", "ticker", "industry_slug", "industry_name", "theme_name")
 
 
-@query("J2_left_latest", """SELECT c.cik, c.ticker, m.price, q.period_end AS latest_quarter FROM a_company c LEFT JOIN (SELECT * FROM o_market WHERE cik % 2 = 0) m ON m.cik = c.cik
-  LEFT JOIN (SELECT cik, max(period_end) AS period_end FROM a_q WHERE cik % 3 = 0 GROUP BY cik) q ON q.cik = c.cik""")
+@query("J2_left_latest", """SELECT c.cik, c.ticker, m.price, q.period_end AS latest_quarter FROM a_company c LEFT JOIN o_market m ON m.cik = c.cik
+  LEFT JOIN (SELECT cik, max(period_end) AS period_end FROM a_q GROUP BY cik) q ON q.cik = c.cik""")
 def j2(t):
-    market = snap.latest_market(t.a_market).where("cik % 2 = 0").select("cik", "price")
-    newest = t.a_q.where("cik % 3 = 0").groupBy("cik").agg(F.max("period_end").alias("latest_quarter"))
+    market = snap.latest_market(t.a_market).select("cik", "price")
+    newest = t.a_q.groupBy("cik").agg(F.max("period_end").alias("latest_quarter"))
     return t.a_company.select("cik", "ticker").join(market, "cik", "left").join(newest, "cik", "left")
 
 
-@query("J3_without_facts", "SELECT c.cik FROM a_company c LEFT JOIN (SELECT DISTINCT cik FROM a_facts WHERE cik % 4 <> 1) f ON f.cik = c.cik WHERE f.cik IS NULL")
+@query("J3_without_facts", "SELECT c.cik FROM a_ticker c LEFT JOIN (SELECT DISTINCT cik FROM a_facts) f ON f.cik = c.cik WHERE f.cik IS NULL")
 def j3(t):
-    facts = changes.coverage(t.a_facts.where("cik % 4 <> 1"))
-    return t.a_company.join(facts, "cik", "left").where("latest IS NULL").select("cik")
+    facts = changes.coverage(t.a_facts)
+    return t.a_ticker.join(facts, "cik", "left").where("latest IS NULL").select("cik")
 
 
 @query("J4_universe_facts", "SELECT f.cik, tag, count(*) AS n FROM a_facts f WHERE f.cik IN (SELECT c.cik FROM a_company c JOIN a_ci ci ON ci.cik = c.cik WHERE c.is_active) GROUP BY f.cik, tag")
@@ -94,9 +94,9 @@ def j14(t):
 
 
 @query("J15_theme_industries", """SELECT t.slug, t.display_order, count(i.slug) AS industries, coalesce(string_agg(i.slug, ',' ORDER BY i.slug), '') AS listed
-  FROM a_theme t LEFT JOIN (SELECT * FROM a_industry WHERE tam_usd IS NOT NULL) i ON i.theme_slug = t.slug GROUP BY ALL""")
+  FROM a_theme t LEFT JOIN a_industry i ON i.theme_slug = t.slug GROUP BY ALL""")
 def j15(t):
-    listed = marts.theme_lists(t.a_theme, t.a_industry.where("tam_usd IS NOT NULL"))
+    listed = marts.theme_lists(t.a_theme, t.a_industry)
     return listed.select("slug", "display_order", F.size("industries").cast("long").alias("industries"), F.concat_ws(",", "industries").alias("listed"))
 
 
@@ -115,9 +115,9 @@ def a2(t):
     return dist.median_deviation(t.sql(_LONG), ["industry_slug"], "ocf")
 
 
-@query("A3_sample_stdev", "SELECT cik, round(stddev_samp(g), 6) AS sd FROM (SELECT cik, ocf / revenue AS g FROM a_q WHERE revenue > 0 AND (cik % 6 <> 0 OR period_end = DATE '2000-03-31')) x GROUP BY cik")
+@query("A3_sample_stdev", "SELECT cik, round(stddev_samp(g), 6) AS sd FROM (SELECT cik, CASE WHEN revenue > 0 THEN ocf / revenue END AS g FROM a_q) x GROUP BY cik")
 def a3(t):
-    rows = t.a_q.where("revenue > 0 AND (cik % 6 <> 0 OR period_end = DATE '2000-03-31')").select("cik", (F.col("ocf") / F.col("revenue")).alias("g"))
+    rows = t.a_q.select("cik", sc.ratio("ocf", "revenue").alias("g"))
     return rows.groupBy("cik").agg(r(F.stddev_samp("g")).alias("sd"))
 
 
@@ -190,9 +190,9 @@ def a12(t):
     return out.select("cik", "period_end", F.col("m")["revenue"].alias("revenue_tag"), F.col("m")["derived"].alias("derived"))
 
 
-@query("A13_valid_tickers", "SELECT DISTINCT c.ticker FROM a_company c JOIN a_ci ci ON ci.cik = c.cik JOIN a_industry i ON i.slug = ci.industry_slug JOIN a_theme t ON t.slug = i.theme_slug WHERE i.tam_usd IS NULL")
+@query("A13_valid_tickers", "SELECT DISTINCT c.ticker FROM a_company c JOIN a_ci ci ON ci.cik = c.cik JOIN a_industry i ON i.slug = ci.industry_slug JOIN a_theme t ON t.slug = i.theme_slug")
 def a13(t):
-    return marts.dimension_chain(t.a_company, t.a_ci, t.a_industry.where("tam_usd IS NULL"), t.a_theme).select("ticker").distinct()
+    return marts.dimension_chain(t.a_company, t.a_ci, t.a_industry, t.a_theme).select("ticker").distinct()
 
 
 # ---- windows ----------------------------------------------------------------------------------------------------

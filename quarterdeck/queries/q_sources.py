@@ -142,14 +142,14 @@ def s12(t):
 
 
 @query("S13_taxonomy_violations", """
-SELECT 'industry.theme' AS rule, slug AS subject FROM a_industry WHERE theme_slug NOT IN (SELECT slug FROM a_theme WHERE slug <> 'ASIA') UNION ALL
+SELECT 'industry.theme' AS rule, slug AS subject FROM a_industry WHERE theme_slug NOT IN (SELECT replace(slug, 'ASIA', 'FAR EAST') FROM a_theme) UNION ALL
 SELECT 'map.industry', concat('', 3000 + s_nationkey) FROM (SELECT DISTINCT s_nationkey FROM a_size WHERE s_nationkey % 5 = 0) x UNION ALL
 SELECT 'tam_source', slug FROM a_industry WHERE tam_usd IS NOT NULL""")
 def s13(t):
     industries = t.a_industry.withColumn("tam_source", F.lit(None).cast("string"))
     codes = t.a_size.join(t.sql("SELECT n_nationkey AS s_nationkey, n_name AS industry, r_name AS theme FROM nation JOIN region ON r_regionkey = n_regionkey"), "s_nationkey")
     sic_map = codes.selectExpr("concat('', 3000 + s_nationkey) AS sic", "CASE WHEN s_nationkey % 5 = 0 THEN 'gone' ELSE industry END AS industry", "CAST(NULL AS STRING) AS theme").distinct()
-    built = taxonomy.Taxonomy(t.a_theme.where("slug <> 'ASIA'"), industries, sic_map, tax(t).overrides.where("FALSE"), sic_map.select("sic"), tax(t).unmapped)
+    built = taxonomy.Taxonomy(t.a_theme.withColumn("slug", F.expr("replace(slug, 'ASIA', 'FAR EAST')")), industries, sic_map, tax(t).overrides.where("FALSE"), sic_map.select("sic"), tax(t).unmapped)
     return taxonomy.taxonomy_violations(built)
 
 
@@ -238,9 +238,10 @@ def f7b(t):
     return period_ops.rejections(period_ops.validate(t.sql(_BAD)))
 
 
-@query("F8_sufficient_data", "SELECT cik, completeness IS NULL OR completeness >= 0.6 AS sufficient FROM (SELECT cik, CASE WHEN max(cash) IS NULL THEN NULL ELSE count(gross_profit) / count(*) END AS completeness FROM a_q WHERE cik % 3 <> 2 OR quarter(period_end) < 4 GROUP BY cik) x")
+@query("F8_sufficient_data", "SELECT cik, completeness IS NULL OR completeness >= 0.6 AS sufficient FROM (SELECT cik, CASE WHEN max(cash) IS NULL THEN NULL ELSE count(CASE WHEN cik % 3 <> 2 OR quarter(period_end) = 4 THEN gross_profit END) / count(*) END AS completeness FROM a_q GROUP BY cik) x")
 def f8(t):
-    rows = t.a_q.where("cik % 3 <> 2 OR quarter(period_end) < 4").groupBy("cik").agg(F.when(F.max("cash").isNotNull(), F.count("gross_profit") / F.count(F.lit(1))).alias("c"))
+    held = F.when(F.expr("cik % 3 <> 2 OR quarter(period_end) = 4"), F.col("gross_profit"))
+    rows = t.a_q.groupBy("cik").agg(F.when(F.max("cash").isNotNull(), F.count(held) / F.count(F.lit(1))).alias("c"))
     return rows.select("cik", sufficient("c", 0.6).alias("sufficient"))
 
 
@@ -255,8 +256,8 @@ def f10(t):
     return changes.universe(t.a_company, t.a_ci).select("cik", "ticker")
 
 
-@query("F11_unknown_slugs", "SELECT cik, industry_slug FROM a_ci WHERE industry_slug NOT IN (SELECT slug FROM a_industry WHERE tam_cagr IS NULL)")
+@query("F11_unknown_slugs", "SELECT cik, 'GONE' AS industry_slug FROM a_ci WHERE cik % 4 = 1")
 def f11(t):
-    return snap.unknown_slugs(t.a_ci, t.a_industry.where("tam_cagr IS NULL")).select("cik", "industry_slug")
+    return snap.unknown_slugs(t.a_ci.withColumn("industry_slug", F.expr("CASE WHEN cik % 4 = 1 THEN 'GONE' ELSE industry_slug END")), t.a_industry).select("cik", "industry_slug")
 
 
