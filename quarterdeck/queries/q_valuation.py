@@ -74,9 +74,14 @@ def v6(t):
     return fair(t).select("cik", r("enterprise_value", 0).alias("enterprise_value"), r("equity_value", 0).alias("equity_value"), r("per_share", 4).alias("per_share"))
 
 
-@query("V7_assumptions")
+_ROUNDED = {"initial_growth_rate": "g0", "mature_fcf_margin": "mature", "mature_margin_dispersion": "dispersion", "initial_fcf_margin": "m0", "implied_revenue_multiple": "x5"}
+
+
+@query("V7_assumptions", f"""SELECT cik, 5 AS projection_years, 0.09::DOUBLE AS discount_rate, 0.025::DOUBLE AS terminal_growth_rate, g_src AS initial_growth_source, CAST(periods AS INT) AS mature_margin_periods,
+  m_src AS initial_margin_source, 0.21::DOUBLE AS tax_rate, net_cash, shares, CASE WHEN t0.shares_diluted > 0 THEN 'diluted' ELSE 'outstanding' END AS shares_source,
+  {', '.join(f'round({x}, 6) AS {n}' for n, x in _ROUNDED.items())} FROM o_fair WHERE reason IS NULL""")
 def v7(t):
-    return fair(t).where("assumptions IS NOT NULL").select("cik", "assumptions.*")
+    return fair(t).where("assumptions IS NOT NULL").select("cik", "assumptions.*").withColumns({n: r(n) for n in _ROUNDED})
 
 
 ORACLE["o_price"] = """
