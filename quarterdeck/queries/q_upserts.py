@@ -111,11 +111,12 @@ def k8(t):
 @query("K9_valuations", f"""SELECT f.cik, {DAY} AS as_of, CASE WHEN f.reason IS NULL THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS fair_value_status, f.reason AS fair_value_reason,
   round(f.per_share, 4) AS fair_value_per_share, round(CASE WHEN f.reason IS NULL THEN f.x5 END, 6) AS implied_revenue_multiple, p.status AS price_status, round(p.ratio, 4) AS price_ratio,
   round(p.safety, 4) AS margin_of_safety, p.valuation_status, m.signal AS moat_signal, m.periods_evaluated AS moat_periods_evaluated, m.periods_clearing AS moat_periods_clearing,
-  m.reason AS moat_reason, round(u.score, 6) AS uncertainty_score, '{_VALUES}' AS engine_version
+  m.reason AS moat_reason, round(u.score, 6) AS uncertainty_score,
+  CASE WHEN u.score >= 0.75 THEN 'SEVERE' WHEN u.score >= 0.5 THEN 'ELEVATED' WHEN u.score >= 0.25 THEN 'MODERATE' ELSE 'MINIMAL' END AS uncertainty_level, '{_VALUES}' AS engine_version
   FROM o_fair f JOIN o_price p ON p.cik = f.cik JOIN o_moat m ON m.cik = f.cik JOIN o_unc u ON u.cik = f.cik""")
 def k9(t):
     rows = scoring.outputs(scoring.evaluate(full(t)), AS_OF)["valuations"]
-    rows = rows.withColumn("implied_revenue_multiple", F.round("assumptions.implied_revenue_multiple", 6)).drop("assumptions", "moat_evidence", "uncertainty_drivers", "uncertainty_level")
+    rows = rows.withColumn("implied_revenue_multiple", F.round("assumptions.implied_revenue_multiple", 6)).drop("assumptions", "moat_evidence", "uncertainty_drivers")
     return rows.withColumns({c: F.round(c, n) for c, n in (("fair_value_per_share", 4), ("price_ratio", 4), ("margin_of_safety", 4), ("uncertainty_score", 6))})
 
 
