@@ -95,3 +95,40 @@ def op8(text: str | None) -> tuple:
             spans[kind].append((m.start(), m.end()))
     listed = ",".join(f"{k}:{a}:{b}" for k in BASE for a, b in spans[k])
     return *(len(spans[k]) for k in BASE), sha(listed), listed
+
+
+def op10(text: str | None, templates: dict[str, list[str]], least: float = 0.85) -> list[tuple[int, str, float]]:
+    def grams(w: list[str]) -> Counter:
+        return Counter(zip(w, w[1:])) if len(w) != 1 else Counter([(w[0], "")])
+
+    def dice(a: list[str], b: list[str]) -> float:
+        x, y = grams(a), grams(b)
+        return 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
+
+    word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+    lines = [word.findall(x.translate(LOWER)) for x in (text or "").split("\n")]
+    w = [(x, n) for n, line in enumerate(lines, 1) for x in line]
+    flat, held = [x for x, _ in w], [(name, word.findall(t.translate(LOWER))) for name in sorted(templates) for t in templates[name]]
+
+    def best(unit: list[str]) -> tuple[str, float] | None:
+        top = max(((dice(unit, t), -k) for k, (_, t) in enumerate(held)), default=(0.0, 0))
+        return (held[-top[1]][0], top[0]) if top[0] >= least else None
+
+    whole = best(flat) if len(lines) > 1 else None
+    taken, at = [], 0
+    for n, line in enumerate(lines, 1):
+        if m := best(line):
+            taken.append((n, at, at + len(line), *m))
+        at += len(line)
+    pool = []
+    for k, (name, t) in enumerate(held):
+        for i in range(len(flat) - len(t) + 1):
+            if (d := dice(flat[i : i + len(t)], t)) >= least:
+                pool.append((-(grams(flat[i : i + len(t)]) & grams(t)).total(), -d, i, k, i + len(t), name))
+    found = list(taken)
+    for _, d, i, _, end, name in sorted(pool):
+        if not any(i < b and a < end and (other == name or e >= -d) for _, a, b, other, e in taken):
+            taken.append((w[i][1], i, end, name, -d))
+            if not whole or whole[0] != name:
+                found.append(taken[-1])
+    return ([(0, *whole)] if whole else []) + [(n, name, d) for n, _, _, name, d in sorted(found)]

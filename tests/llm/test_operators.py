@@ -1,5 +1,6 @@
 """Every operator against plain versions, on invented rows with nulls, empty, long, tied and repeated texts, and on the smallest table."""
 import random
+import textwrap
 
 import brute
 import numpy as np
@@ -180,3 +181,22 @@ def test_licences(spark):
     rows = [(1, None), (2, ""), (3, "x\nReleased under the MIT License.\ny"), (4, "licensed under the APACHE license version 2.0"), (5, "Released under the license of nobody at all"), (3, "y")]
     got = [(r["doc_id"], r["licenses"], r["match_lines"]) for r in op10_license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [(1, [], []), (2, [], []), (3, ["MIT"], [2]), (4, ["Apache-2.0"], [1]), (5, [], []), (3, [], [])]
+
+
+def test_licences_wrapped_embedded_and_whole(spark):
+    held, wrap = op10_license_scan.TEMPLATES, lambda t, n: "\n".join(textwrap.wrap(t, n))
+    mit, rng = held["MIT"][-1], random.Random(3)
+    gpl = "/* " + wrap(next(t for t in held["GPL-3.0"] if "FITNESS" in t and len(t) < 1000), 50).replace("\n", "\n * ") + "\n */\nint main;"
+    rows = [None, "", "\n\n", "MIT", "Copyright 2020 Jane Doe. Released under the MIT License.", "some words\nbefore this program was Released\nunder the MIT\nLicense. And after it", gpl,
+            f"Copyright (c) 2020 Jane Doe\n\n{mit}", f"{'invented words here ' * 300}\n{mit}\nLicensed under the Apache License, Version 2.0.\n{'more of it ' * 200}",
+            *[f"Copyright x\n{held[n][-1]}" for n in ("BSD-2-Clause", "BSD-3-Clause", "ISC")]]
+    notices = [t for ts in op10_license_scan.NOTICES.values() for t in ts]
+    for _ in range(60):
+        own = " ".join(rng.choice([rng.choice(notices), *["other words"] * 2, "the GNU General Public License"]) for _ in range(rng.randint(1, 5))).split()
+        rows.append("".join(rng.choice(["", x, "new"] if rng.random() < 0.04 else [x]) + rng.choice([" ", " ", " ", "\n"]) for x in own))
+    got = op10_license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: list(zip(r["match_lines"], r["match_names"], r["match_dice"], strict=True)) for r in got}
+    assert found == {i: brute.op10(t, held) for i, t in enumerate(rows)}
+    assert [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])][4:12] == [["MIT"], ["MIT"], ["GPL-3.0"], ["MIT"], ["Apache-2.0", "MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["ISC"]]
+    scanner = op10_license_scan.Scanner(held, 0.85)
+    assert all({m[1] for m in scanner.scan(f"x y\n{ts[-1]}".encode())} == {name} for name, ts in held.items())
