@@ -1,7 +1,8 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base spans come from patterns for e-mail, IP, card and phone, each checked (parts, Luhn, digits). Then contexts are learned: the base spans are
-seeds; the two words before a seed form a lexical pattern. Patterns and candidate tokens (those with six digits or an @) make a bipartite
+seeds; the two words before a seed form a lexical pattern, wherever in the text they stand: an earlier token with a digit or an @ counts as the
+word `#`, the start of the text as `^`, and neither long words nor white space shorten them. Patterns and candidate tokens (those with six digits or an @) make a bipartite
 graph; in each round a pattern's score is the weighted mean of its instances' scores and an unknown instance's score that of its patterns,
 seeds staying at 1. A pattern of a high score with enough different seeds marks the other candidates that it precedes as spans of kind `context`.
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .textstats import words
+from .textstats import SPACE
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns, without backtracking.
@@ -70,25 +71,35 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(needs, F.aggregate(cut(text, PATTERNS[kind]), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
 
 
+def words(gap: Column) -> Column:
+    """The words of a part between tokens, in lower case and without marks."""
+    return F.filter(F.split(F.lower(F.regexp_replace(gap, r"[^\p{L}\p{N}\s]+", "")), SPACE), lambda w: w != "")
+
+
+def parts(text: Column) -> Column:
+    """The tokens with a digit or an @, with the length of the part before each and its last two words, nearest first."""
+    return F.transform(cut(text, _TOKEN), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.slice(F.reverse(words(x["gap"])), 1, 2).alias("near")))
+
+
 def occurrences(text: Column, starts: Column, base: Column) -> Column:
     """Candidate tokens with their two words before: (start, end, token, left, seed). A token where a base span starts is a seed; one that a base
     span covers otherwise is left out."""
     kind = "array<struct<start:bigint,end:bigint,token:string,left:string,seed:boolean>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit("^"), F.lit("^")).alias("near"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["at"] + x["gap"]
         end = start + F.length(F.coalesce(x["match"], F.lit("")))
-        before = words(F.lower(F.regexp_replace(F.right(x["gap"], F.lit(120)), r"[^\p{L}\p{N}\s]+", "")))
-        left = F.array_join(F.when(F.size(before) >= 2, F.slice(before, -2, 2)), " ")
+        near = F.slice(F.concat(x["near"], acc["near"]), 1, 2)
         seed = F.exists(starts, lambda s: (s >= start) & (s < end))
         covered = F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
         shaped = (F.length(F.regexp_replace(x["match"], "[^0-9]", "")) >= 6) | x["match"].contains("@")
-        keep = x["match"].isNotNull() & left.isNotNull() & (seed | (~covered & shaped))
-        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("token"), left.alias("left"), seed.alias("seed"))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+        keep = x["match"].isNotNull() & (seed | (~covered & shaped))
+        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("token"), F.array_join(F.reverse(near), " ").alias("left"), seed.alias("seed"))
+        return F.struct(end.alias("at"), F.slice(F.concat(F.array(F.lit("#")), near), 1, 2).alias("near"),
+                        F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike("[0-9@]"), F.aggregate(cut(text, _TOKEN), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(text.rlike("[0-9@]"), F.aggregate(parts(text), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
 def patterns(found: DataFrame, rounds: int = 3, score: float = 0.8, seeds: int = 5) -> DataFrame:

@@ -200,3 +200,12 @@ def test_licences_wrapped_embedded_and_whole(spark):
     assert [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])][4:12] == [["MIT"], ["MIT"], ["GPL-3.0"], ["MIT"], ["Apache-2.0", "MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["ISC"]]
     scanner = op10_license_scan.Scanner(held, 0.85)
     assert all({m[1] for m in scanner.scan(f"x y\n{ts[-1]}".encode())} == {name} for name, ts in held.items())
+
+
+def test_contexts_reach_over_tokens_and_starts(spark):
+    rows = [(1, "Tel +49301234567 Acct 123456789"), (2, "a@b.de"), (3, "x" * 200 + " is" + " " * 150 + "987654321"), (4, "no: 7654321, 7654322"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.coalesce("text", F.lit("")))
+    found = docs.withColumns({k: op8_pii.spans(F.col("__text"), k) for k in op8_pii.KINDS}).withColumn("__base", F.concat(*op8_pii.KINDS)).withColumn("__starts", F.col("__base.start"))
+    got = {r["doc_id"]: [(o["token"], o["left"], o["seed"]) for o in r["o"]] for r in found.select("doc_id", op8_pii.occurrences(F.col("__text"), F.col("__starts"), F.col("__base")).alias("o")).collect()}
+    assert got == {1: [("+49301234567", "^ tel", True), ("123456789", "# acct", False)], 2: [("a@b.de", "^ ^", True)], 3: [("987654321", "x" * 200 + " is", False)],
+                   4: [("7654321,", "^ no", False), ("7654322", "no #", False)], 5: []}
