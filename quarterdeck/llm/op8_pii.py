@@ -1,13 +1,23 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base spans come from patterns for e-mail, IP, card and phone, each checked (parts, Luhn, digits). Then contexts are learned: the base spans are
-seeds; the two words before a seed form a lexical pattern, wherever in the text they stand: an earlier token with a digit or an @ counts as the
-word `#`, the start of the text as `^`, and neither long words nor white space shorten them. Patterns and candidate tokens (those with six digits or an @) make a bipartite
-graph; in each round a pattern's score is the weighted mean of its instances' scores and an unknown instance's score that of its patterns,
-seeds staying at 1. A pattern of a high score with enough different seeds marks the other candidates that it precedes as spans of kind `context`.
+Base spans come from patterns for e-mail, IP, card and phone, each checked (parts, Luhn, digits). Then contexts are learned. Candidates are tokens
+with six digits or an @. Those where a base span starts are seeds of weight 1; codes, in which 16 or more letters and digits mix, start at a half; the
+others start at 0. Every candidate has patterns of five forms on three sides:
+
+left   `pair`, the two words before it; `word`, the word before it; `mark`, that word with the marks behind it (`token = "`)
+right  `next`, the word after it
+shape  `shape`, its letters and digits by class and length
+
+An earlier token with a digit or an @ counts as the word `#`, the start of the text as `^`, its end as `$`; neither long words nor white space
+shorten a context. Patterns and candidates make a bipartite graph. In each round a pattern's score is the sum of its instances' weights over
+its frequency in the whole corpus plus two, so a word that mostly stands before other things counts for nothing however large the corpus is; a
+pattern of which candidates make up less than a fifth is dropped. With w the first weight and the best score on each side, an instance passes
+1 - (1 - w)(1 - left)(1 - right)(1 - shape) to its patterns, but to those of a side without that side's own score: so confident instances raise
+the other patterns that they have, and none raises itself. After the rounds, occurrences with 1 - (1 - left)(1 - right)(1 - shape) of at least
+the score become spans of kind `context`.
 
 Everything is DataFrame functions: positions come from the lengths of the parts between matches, graph rounds are aggregations over edges,
-which are few, and patterns are joined with occurrences, never collected.
+which are few, and patterns are joined with occurrences, never collected. The text is read a second time to count the patterns.
 
 Patterns are written so that no text makes them backtrack: runs are possessive, and a match starts where a run does or the last match ended.
 
@@ -32,6 +42,7 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_MARKED = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++\s*+[^\p{L}\p{N}\s][^\p{L}\p{N}]*+"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -77,17 +88,48 @@ def words(gap: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """The tokens with a digit or an @, with the length of the part before each and its last two words, nearest first."""
-    return F.transform(cut(text, _TOKEN), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.slice(F.reverse(words(x["gap"])), 1, 2).alias("near")))
+    """The tokens with a digit or an @, with the length of the part before each, its last two words, nearest first, its first word and its last marks."""
+    cells = F.transform(cut(text, _TOKEN), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match"), words(x["gap"]).alias("w"), ends(x["gap"], x["match"]).alias("marked")))
+    return F.transform(cells, lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), F.slice(F.reverse(x["w"]), 1, 2).alias("near"), F.get(x["w"], F.lit(0)).alias("first"),
+                                                 x["marked"].alias("marked")))
 
 
-def occurrences(text: Column, starts: Column, base: Column) -> Column:
-    """Candidate tokens with their two words before: (start, end, token, left, seed). A token where a base span starts is a seed; one that a base
-    span covers otherwise is left out."""
-    kind = "array<struct<start:bigint,end:bigint,token:string,left:string,seed:boolean>>"
+def marks(text: Column) -> Column:
+    """Every word with marks behind it, in lower case and without white space."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_MARKED), F.lit(0)), lambda m: F.regexp_replace(m, r"\s+", ""))
+
+
+def ends(gap: Column, token: Column) -> Column:
+    """The last word of a part with the marks between it and the token's first letter or digit; null without marks."""
+    lead = F.regexp_extract(token, r"\A[^\p{L}\p{N}]*+", 0)
+    last = F.get(F.reverse(marks(F.concat(gap, lead))), F.lit(0))
+    return F.when(F.concat(gap, lead).rlike(r"[^\p{L}\p{N}\s]\s*+\z"), last)
+
+
+def shape(token: Column) -> Column:
+    """Letters and digits of a token by class and length; a code counts as one class."""
+    core = F.regexp_replace(token, r"[^A-Za-z0-9@.:-]+", "")
+    runs = F.transform(F.regexp_extract_all(core, F.lit(r"[A-Za-z]++|[0-9]++|[@.:-]++"), F.lit(0)), lambda r: F.when(r.rlike(r"\A[0-9]"), F.concat(F.lit("9x"), F.length(r).cast("string")))
+                       .when(r.rlike(r"\A[A-Za-z]"), F.concat(F.lit("ax"), F.length(r).cast("string"))).otherwise(r))
+    return F.when(code(token), F.concat(F.lit("code"), F.length(core).cast("string"))).otherwise(F.array_join(runs, ""))
+
+
+def code(token: Column) -> Column:
+    """Whether a token is one run of 16 or more letters and digits, with both in it, between marks."""
+    return token.rlike(r"\A[^A-Za-z0-9]*+[A-Za-z0-9]{16,}+[^A-Za-z0-9]*+\z") & token.rlike("[A-Za-z]")
+
+
+_OCCURRENCES = "array<struct<start:bigint,end:bigint,token:string,left:string,seed:boolean,word:string,mark:string,next:string>>"
+
+
+def occurrences(cells: Column, starts: Column, base: Column) -> Column:
+    """Candidate tokens with their surroundings: (start, end, token, left, seed, word, mark, next); `cells` is a column of parts(). A token where a
+    base span starts is a seed; one that a base span covers otherwise is left out."""
+    kind = _OCCURRENCES
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit("^"), F.lit("^")).alias("near"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, y: Column) -> Column:
+        x, after = y["x"], y["after"]
         start = acc["at"] + x["gap"]
         end = start + F.length(F.coalesce(x["match"], F.lit("")))
         near = F.slice(F.concat(x["near"], acc["near"]), 1, 2)
@@ -95,41 +137,88 @@ def occurrences(text: Column, starts: Column, base: Column) -> Column:
         covered = F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
         shaped = (F.length(F.regexp_replace(x["match"], "[^0-9]", "")) >= 6) | x["match"].contains("@")
         keep = x["match"].isNotNull() & (seed | (~covered & shaped))
-        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("token"), F.array_join(F.reverse(near), " ").alias("left"), seed.alias("seed"))
+        following = F.coalesce(after["first"], F.when(after["match"].isNotNull(), F.lit("#")).otherwise(F.lit("$")))
+        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("token"), F.array_join(F.reverse(near), " ").alias("left"), seed.alias("seed"),
+                       F.get(near, F.lit(0)).alias("word"), x["marked"].alias("mark"), following.alias("next"))
         return F.struct(end.alias("at"), F.slice(F.concat(F.array(F.lit("#")), near), 1, 2).alias("near"),
                         F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike("[0-9@]"), F.aggregate(parts(text), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    pairs = F.zip_with(cells, F.slice(cells, 2, F.size(cells)), lambda x, y: F.struct(x.alias("x"), y.alias("after")))
+    return F.when(F.size(cells) > 1, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+
+
+SIDES = {"pair": "left", "word": "left", "mark": "left", "next": "right", "shape": "shape"}
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """Occurrences with one row per pattern: form and key. A bare `#`, `^` or `$` is no pattern."""
+    made = {"pair": F.col("left"), "word": F.col("word"), "mark": F.col("mark"), "next": F.col("next"), "shape": shape(F.col("token"))}
+    forms = F.array(*[F.struct(F.lit(form).alias("form"), key.alias("key")) for form, key in made.items()])
+    return found.withColumn("p", F.explode(forms)).select("*", "p.form", "p.key").drop("p").filter(F.col("key").isNotNull() & ~F.col("key").isin("#", "^", "$", "^ ^", "# #", "^ #"))
+
+
+def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(form, key, total): how often the wanted patterns (form, key) but shapes occur in the column __text, before or after anything."""
+    stream = F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(F.flatten(F.transform(cut(F.col("__text"), _TOKEN), lambda x: F.concat(words(x["gap"]), F.array(F.when(x["match"].isNotNull(), F.lit("#")))))), lambda w: w.isNotNull()))
+    rows = texts.select(stream.alias("w"), marks(F.col("__text")).alias("m"))
+    following = F.slice(F.col("w"), 2, F.size("w"))
+    kinds = {"word": F.col("w"), "pair": F.filter(F.zip_with("w", following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()), "mark": F.col("m")}
+    out = None
+    for form, keys in kinds.items():
+        forms = ["word", "next"] if form == "word" else [form]
+        held = wanted.filter(F.col("form").isin(*forms)).select("key").distinct()
+        counts = rows.select(F.explode(keys).alias("key")).join(held, "key", "left_semi").groupBy("key").agg(F.count("*").alias("total"))
+        counts = counts.withColumn("form", F.explode(F.array(*[F.lit(f) for f in forms])))
+        out = counts if out is None else out.unionByName(counts)
+    return out.select("form", "key", "total")
+
+
+def side(form: Column) -> Column:
+    return F.coalesce(*[F.when(form == f, F.lit(s)) for f, s in SIDES.items()])
+
+
+def sides(best: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, left, right, shape): 1 - the best score on each side. `best`: rows (*keys, form, p)."""
+    return best.groupBy(*keys).agg(*[(1 - F.coalesce(F.max(F.when(side(F.col("form")) == s, F.col("p"))), F.lit(0.0))).alias(s) for s in ("left", "right", "shape")])
 
 
-def patterns(found: DataFrame, rounds: int = 3, score: float = 0.8, seeds: int = 5) -> DataFrame:
-    """(left): contexts that count as reliable. `found`: rows (left, token, seed). Both sides of the graph are aggregated before they meet."""
-    edges = staged(found.groupBy("left", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "op8-edges")
-    known = edges.groupBy("token").agg(F.max("seed").alias("known"))
-    edges = staged(edges.join(known, "token"), "op8-graph")
-    rated = edges.withColumn("r", F.col("known").cast("double"))
+def patterns(found: DataFrame, texts: DataFrame, rounds: int = 6, least: float = 0.2) -> DataFrame:
+    """(form, key, p): the patterns' scores after the rounds. `found`: rows of keyed(). Both sides of the graph are aggregated before they meet."""
+    edges = staged(found.groupBy("form", "key", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "op8-edges")
+    known = edges.groupBy("token").agg(F.when(F.max("seed"), 1.0).when(code(F.col("token")), 0.5).otherwise(0.0).alias("known"))
+    edges = staged(edges.drop("seed").join(known, "token"), "op8-graph")
+    met = edges.groupBy("form", "key").agg(F.sum("n").alias("seen"), F.count("*").alias("tokens"), F.max("known").alias("most"))
+    wanted = staged(met.filter((F.col("tokens") > 1) & (F.col("most") > 0)), "op8-wanted")
+    totals = wanted.filter("form = 'shape'").select("form", "key", F.col("seen").alias("total"))
+    totals = totals.unionByName(frequencies(texts, wanted.filter("form <> 'shape'").select("form", "key")))
+    held = wanted.join(totals, ["form", "key"]).filter(F.col("seen") >= least * F.col("total")).select("form", "key", F.greatest("seen", "total").alias("total"))
+    edges = staged(edges.join(staged(held, "op8-held"), ["form", "key"]), "op8-links")
+    rated = edges.withColumn("r", F.col("known"))
     for k in range(rounds):
-        scored = rated.groupBy("left").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("p"), F.count(F.when(F.col("known"), 1)).alias("seeds"))
-        scored = staged(scored, "op8-patterns")
+        scored = staged(rated.groupBy("form", "key").agg((F.sum(F.col("n") * F.col("r")) / (F.first("total") + 2)).alias("p")), "op8-patterns")
         if k + 1 < rounds:
-            met = edges.join(scored.select("left", "p"), "left").groupBy("token").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("q"))
-            rated = edges.join(met, "token").withColumn("r", F.when(F.col("known"), F.lit(1.0)).otherwise(F.col("q")))
-    return scored.filter((F.col("p") >= score) & (F.col("seeds") >= seeds)).select("left")
+            met = staged(sides(edges.join(scored, ["form", "key"]).select("token", "form", "p"), ["token"]), "op8-weights")
+            others = [F.when(side(F.col("form")) == s, F.lit(1.0)).otherwise(F.col(s)) for s in ("left", "right", "shape")]
+            rated = edges.join(met, "token").withColumn("r", 1 - (1 - F.col("known")) * others[0] * others[1] * others[2])
+    return scored
 
 
-def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, score: float = 0.8) -> DataFrame:
     """`carry` columns (all by default) with email, ip, card, phone and context: arrays of (start, end)."""
     carried = [c for c in (docs.columns if carry is None else carry) if c not in (*KINDS, "context")]
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     base = docs.select(*carried, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     base = base.withColumns({k: spans(F.col("__text"), k) for k in KINDS}).withColumn("__base", F.concat(*KINDS))
-    base = base.withColumn("__starts", F.col("__base.start")).withColumn("__found", occurrences(F.col("__text"), F.col("__starts"), F.col("__base")))
-    rows = staged(base.drop("__text", "__base", "__starts").withColumn("__row", F.monotonically_increasing_id()), "op8-rows")
-    found = rows.select("__row", F.explode("__found").alias("o")).select("__row", "o.*")
-    good = staged(patterns(found.select("left", "token", "seed")), "op8-good")
+    base = base.withColumn("__starts", F.col("__base.start")).withColumn("__cells", F.when(F.col("__text").rlike("[0-9@]"), parts(F.col("__text"))))
+    base = base.withColumn("__found", occurrences(F.col("__cells"), F.col("__starts"), F.col("__base")))
+    rows = staged(base.drop("__text", "__base", "__starts", "__cells").withColumn("__row", F.monotonically_increasing_id()), "op8-rows")
+    found = keyed(rows.select("__row", F.explode("__found").alias("o")).select("__row", "o.*"))
+    good = patterns(found, texts)
     rows = rows.drop("__found")
     if good.isEmpty():
         return rows.drop("__row").withColumn("context", F.array().cast(_SPANS))
-    added = found.filter(~F.col("seed")).join(good, "left").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
+    reached = sides(found.filter(~F.col("seed")).join(good, ["form", "key"]), ["__row", "start", "end"]).filter(1 - F.col("left") * F.col("right") * F.col("shape") >= score)
+    added = reached.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     return rows.join(added, "__row", "left").withColumn("context", F.coalesce("context", F.array().cast(_SPANS))).drop("__row")
 
 

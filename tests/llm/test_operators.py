@@ -206,6 +206,18 @@ def test_contexts_reach_over_tokens_and_starts(spark):
     rows = [(1, "Tel +49301234567 Acct 123456789"), (2, "a@b.de"), (3, "x" * 200 + " is" + " " * 150 + "987654321"), (4, "no: 7654321, 7654322"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.coalesce("text", F.lit("")))
     found = docs.withColumns({k: op8_pii.spans(F.col("__text"), k) for k in op8_pii.KINDS}).withColumn("__base", F.concat(*op8_pii.KINDS)).withColumn("__starts", F.col("__base.start"))
-    got = {r["doc_id"]: [(o["token"], o["left"], o["seed"]) for o in r["o"]] for r in found.select("doc_id", op8_pii.occurrences(F.col("__text"), F.col("__starts"), F.col("__base")).alias("o")).collect()}
+    got = {r["doc_id"]: [(o["token"], o["left"], o["seed"]) for o in r["o"]] for r in found.select("doc_id", op8_pii.occurrences(op8_pii.parts(F.col("__text")), F.col("__starts"), F.col("__base")).alias("o")).collect()}
     assert got == {1: [("+49301234567", "^ tel", True), ("123456789", "# acct", False)], 2: [("a@b.de", "^ ^", True)], 3: [("987654321", "x" * 200 + " is", False)],
                    4: [("7654321,", "^ no", False), ("7654322", "no #", False)], 5: []}
+
+
+def test_contexts_score_against_the_corpus(spark):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(39)) + "7" for _ in range(30)]
+    rows = [(i, f'w{i} about x{chr(97 + i % 26)}q token = "{h}" then y{chr(97 + i % 26)}z') for i, h in enumerate(hexes)]
+    numbers = [str(n) for n in range(4000000000000000, 4000000000000200)]
+    cards, others = ([n for n in numbers if brute.op8(n)[2] == k][:10] for k in (1, 0))
+    rows += [(60 + i, f"v{chr(97 + i)} {n} k{chr(97 + i)}") for i, n in enumerate(cards + others)]
+    rows += [(100 + i, f"{'the sum of things ' * 20} mail of a{i}@b.com and the sum of 7654{i:03d} things") for i in range(30)]
+    found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["context"]] for r in op8_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: [f'"{hexes[i]}"'] if i < 30 else [] for i, _ in rows}
