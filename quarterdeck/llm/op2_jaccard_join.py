@@ -219,7 +219,8 @@ def join(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     lists = short_lists(classes, percent)
     tried = staged(lists.filter("key <> pkey").filter(reach("n", "at", "pn", "pat", percent)).select(F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")).distinct(), "op2-stars")
     member = rows.filter("sig is not null and doc_id is not null").select("doc_id", "sig").join(classes.select("sig", "key"), "sig").select("doc_id", "key")
-    shared_id = member.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("a", "b")
+    least = member.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id", "a")
+    shared_id = member.join(least, "doc_id").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
     first = verified(staged(often_enough(tried, classes, percent), "op2-pairs"), docs, "text", size, percent)
     reached = components(first)
     rest = staged(often_enough(remainder(lists, reached, tried, percent), classes, percent), "op2-rest")

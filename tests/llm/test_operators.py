@@ -221,3 +221,9 @@ def test_contexts_score_against_the_corpus(spark):
     rows += [(100 + i, f"{'the sum of things ' * 20} mail of a{i}@b.com and the sum of 7654{i:03d} things") for i in range(30)]
     found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["context"]] for r in op8_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: [f'"{hexes[i]}"'] if i < 30 else [] for i, _ in rows}
+
+
+def test_join_of_three_texts_under_one_id(spark):
+    rows = [(1, "one a b c d"), (2, "two e f g h"), (3, "three i j k l"), (9, "one a b c d"), (9, "two e f g h"), (9, "three i j k l"), (10, "other m n o p")]
+    got = op2_jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 10)}
