@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_quality_rules, op2_jaccard_join, op3_token_store, op4_chat_format, op5_language_id, op6_quality_classifier, op7_decontamination, op8_pii, op9_byte_bpe,
-               op10_license_scan)
+               op10_license_scan, op11_kd_shards)
 from .staging import staged
 
 
@@ -83,7 +83,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round(F.coalesce(F.array_max("match_dice"), F.lit(0.0)), 6).alias("best_dice"), F.array_join("match_lines", ",").alias("match_lines"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    dealt = op11_kd_shards.assign(docs)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1, "op2_jaccard_join": op2, "op3_token_store": op3, "op4_chat_format": op4, "op5_language_id": op5, "op6_quality_classifier": op6,
-    "op7_decontamination": op7, "op8_pii": op8, "op9_byte_bpe": op9, "op10_license_scan": op10,
+    "op7_decontamination": op7, "op8_pii": op8, "op9_byte_bpe": op9, "op10_license_scan": op10, "op11_kd_shards": op11,
 }
