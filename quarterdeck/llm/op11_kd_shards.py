@@ -64,7 +64,7 @@ def coordinate(df: DataFrame, name: str) -> Column:
 
 
 def placed(docs: DataFrame, dimensions: list[str], text: str, shards: int, keep_text: bool = False) -> DataFrame:
-    """The rows with _w (size), _place (coordinates), _h and _r (-1 in a group that stays whole), and _row, written once."""
+    """The rows with _w (size), _place (coordinates), _h and _r (-1 in a group that stays whole), and _row and _node (0, the root), written once."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = F.array(*[coordinate(docs, d) for d in dimensions]) if dimensions else F.array(F.lit(0).cast("long"))
     # Two texts of one hash would only be taken for a group, which changes where they go but loses nothing.
@@ -79,16 +79,16 @@ def placed(docs: DataFrame, dimensions: list[str], text: str, shards: int, keep_
     dealt = F.broadcast(groups.filter(heavy).select("_h"))
     whole = rows.join(dealt, "_h", "left_anti").join(groups.filter(~heavy).select("_h", "_first"), "_h", "left")
     whole = whole.withColumn("_r", F.when(F.col("_first").isNull(), F.col("_row")).otherwise(-1)).withColumn("_place", F.coalesce("_first", "_place")).drop("_first")
-    made = staged(whole.unionByName(rows.join(dealt, "_h", "left_semi").withColumn("_r", F.col("_row"))), "op11-placed")
+    made = staged(whole.unionByName(rows.join(dealt, "_h", "left_semi").withColumn("_r", F.col("_row"))).withColumn("_node", F.lit(0).cast("long")), "op11-placed")
     discard(rows)
     discard(groups)
     return made
 
 
 def noded(rows: DataFrame, tree: Tree) -> DataFrame:
-    """Adds _node: where the tree leads."""
+    """Moves _node from the root to where the tree leads."""
     spark = rows.sparkSession
-    out = rows.withColumn("_node", F.lit(0).cast("long"))
+    out = rows
     for cuts in tree.levels:
         table = F.broadcast(spark.createDataFrame(cuts, _CUT))
         out = out.join(table, F.col("_node") == F.col("node"), "left")
@@ -142,7 +142,7 @@ def grow(rows: DataFrame, dimensions: int, shards: int) -> Tree:
     tree, leaves, numbers = Tree([]), {0: (0, shards)}, 1
     spans: list[float] | None = None
     while any(n > 1 for _, n in leaves.values()):
-        here = noded(rows.select("_w", "_place", "_h", "_r"), tree)
+        here = noded(rows.select("_w", "_place", "_h", "_r", "_node"), tree)
         coords = [F.element_at("_place", d + 1) for d in range(dimensions)]
         ends = [f(c).alias(f"{name}{d}") for d, c in enumerate(coords) for f, name in ((F.min, "lo"), (F.max, "hi"))]
         sizes = {r["_node"]: r for r in here.groupBy("_node").agg(F.sum("_w").alias("w"), *ends).collect()}
