@@ -3,6 +3,7 @@ from __future__ import annotations
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '~', '~~'), '<s>', '<~s>'), '</s>', '<~/s>'), '[INST]', '[~INST]'), '[/INST]', '[~/INST]')"
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 STATEMENTS: dict[str, str] = {
     "op4_chat_format": f"""
@@ -31,4 +32,16 @@ STATEMENTS: dict[str, str] = {
         select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from docs left join hits using (k) left join owners using (k)""",
+    "op13_ranked_search": f"""
+        with docs as (select row_number() over () as k, doc_id, {_TERMS.format("coalesce(text, '')")} as w from documents),
+        items as (select row_number() over () as q, item_id, {_TERMS.format("coalesce(text, '')")} as w from benchmark),
+        corpus as (select count(*) as c, cast(sum(len(w)) as bigint) as l from docs where len(w) > 0),
+        held as (select k, doc_id, len(w) as n, term, count(*) as tf from (select k, doc_id, w, unnest(w) as term from docs) group by all),
+        terms as (select term, cast(floor(1000 * ln((2 * c + 2) / (2 * count(*) + 1))) as bigint) as weight from held, corpus group by term, c),
+        asked as (select distinct q, item_id, term from (select q, item_id, unnest(w) as term from items)),
+        scores as (
+            select q, item_id, k, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * c) // l)))) as bigint) as score
+            from asked join terms using (term) join held using (term), corpus group by all)
+        select item_id, cast(rank as integer) as rank, doc_id, score
+        from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from scores where score > 0) where rank <= 50""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_quality_rules, op2_jaccard_join, op3_token_store, op4_chat_format, op5_language_id, op6_quality_classifier, op7_decontamination, op8_pii, op9_byte_bpe,
-               op10_license_scan, op11_kd_shards)
+               op10_license_scan, op11_kd_shards, op12_token_alignment, op13_ranked_search)
 from .staging import staged
 
 
@@ -89,7 +89,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "lang")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = op12_token_alignment.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1, "op2_jaccard_join": op2, "op3_token_store": op3, "op4_chat_format": op4, "op5_language_id": op5, "op6_quality_classifier": op6,
-    "op7_decontamination": op7, "op8_pii": op8, "op9_byte_bpe": op9, "op10_license_scan": op10, "op11_kd_shards": op11,
+    "op7_decontamination": op7, "op8_pii": op8, "op9_byte_bpe": op9, "op10_license_scan": op10, "op11_kd_shards": op11, "op12_token_alignment": op12, "op13_ranked_search": op13,
 }
