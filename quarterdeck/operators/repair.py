@@ -1,17 +1,18 @@
 """Repair of fiscal stretches whose statements contradict each other (R7). Shipped to workers by value, so it imports nothing of the package.
 
-A statement over the quarters lo..hi says how far the running sum rises from point lo - 1 to point hi. Points are visited in order; what the
-past means for the future is only how the last few points stand to each other, so equal standings are merged and the fewest drops follow by a
-shortest path over standings. The work grows with the length of a stretch, whatever its number of statements, and no rule depends on its size.
-
-The rule: drop as few statements as make the rest agree. Where all optimal ways pass through one standing that joins all recent points, the
-parts before and after do not touch: each is judged apart, so a neighbouring year changes nothing. Of a part's optimal ways those touching the
-fewest period ends count. Revenue takes the way whose running sums are nowhere below those of another; otherwise a quarter has the value
-that all ways agree on, or none. A statement is rejected if every optimal way drops it.
+A statement over the quarters lo..hi says how far the running sum rises from point lo - 1 to point hi. The rule: drop as few statements as make the
+rest agree, and of all such ways those that touch the fewest period ends. A statement is rejected if every way with the fewest drops drops it. Revenue
+takes the way whose running sums are nowhere below those of another; otherwise a quarter has the value that all ways agree on (the least one
+within the tolerance), or none.
+
+One fold over the points does it. What the past means for the future is how the last few points stand to each other, and the points of quarters that
+are not settled yet: their standing. Ways with equal standings go on as one, which carries their number of drops and ends, the statements all of
+them drop, the least and greatest value of each settled quarter, the highest running sums, and how far a single way attains these. So ways
+are never listed, the work per quarter is bounded by the standings of a few points, and no rule depends on the size of a stretch.
 """
 from __future__ import annotations
 
-from itertools import accumulate, product, takewhile
+from itertools import product
 from typing import NamedTuple
 
 
@@ -23,22 +24,29 @@ class Statement(NamedTuple):
 
 
 class Standing(NamedTuple):
-    """The last points as (point, group, height within the group), the oldest first."""
+    """Points as (point, group, height within the group), the oldest first, and the quarters before them that are open."""
     points: tuple
+    open: tuple
 
-    def key(self, unit: float) -> tuple:
-        return tuple((p, g, round(h / unit)) for p, g, h in self.points)
 
-    def joined(self) -> bool:
-        return len({g for _, g, _ in self.points}) == 1
+class Ways(NamedTuple):
+    """All ways into a standing that drop the fewest statements: what all of them drop; and of those with the fewest ends, per settled quarter
+    (least value, greatest value, whether one lacks it), the highest running sums up to the first unknown quarter, and the length on which one way has them."""
+    drops: int
+    ends: int
+    always: frozenset
+    settled: dict
+    top: tuple
+    attained: int
+    stopped: bool
 
 
 def close(a: float, b: float, scale: float, tol: float) -> bool:
     return abs(a - b) <= tol * max(abs(a), abs(b), scale)
 
 
-def advance(standing: Standing, point: int, kept, scale: float, tol: float, reach: int) -> Standing | None:
-    """The standing after ``point`` with the statements that end there, or None if one of them disagrees with the others."""
+def advance(standing: Standing, point: int, kept, scale: float, tol: float, reach: int):
+    """(standing after ``point`` with the statements that end there, {quarter settled now: value or None}), or None if a statement disagrees with the others."""
     where = {p: (g, h) for p, g, h in standing.points}
     levels: dict = {}  # group -> height of the new point in it
     for c in kept:
@@ -47,117 +55,113 @@ def advance(standing: Standing, point: int, kept, scale: float, tol: float, reac
             levels[group] = height + c.value
         elif not close(levels[group] - height, c.value, scale, tol):
             return None
-    rows = [(p, point if g in levels else g, h - levels[g] if g in levels else h) for p, g, h in standing.points]
-    rows = [*rows, (point, point, 0.0)][-reach:]
+    rows = [(p, point if g in levels else g, h - levels[g] if g in levels else h) for p, g, h in standing.points] + [(point, point, 0.0)]
+    where = {p: (g, h) for p, g, h in rows}
+    alive = {g for p, g, _ in rows if p > point - reach}
+    settled, still = {}, []
+    for q in (*standing.open, point):
+        (g0, h0), (g1, h1) = where[q - 1], where[q]
+        if g0 == g1:
+            settled[q] = h1 - h0
+        elif g0 in alive and g1 in alive:
+            still.append(q)
+        else:
+            settled[q] = None
+    needed = {p for q in still for p in (q - 1, q)}
     base: dict = {}  # groups are named by their oldest point, which stands at zero
+    rows = [(p, g, h) for p, g, h in rows if p > point - reach or p in needed]
     for p, g, h in rows:
         base.setdefault(g, (p, h))
-    return Standing(tuple((p, base[g][0], h - base[g][1]) for p, g, h in rows))
-
-
-def layers_of(statements, lo: int, hi: int, scale: float, tol: float, may_drop, reach: int):
-    """One dict per point: key -> [fewest drops, standing, [(previous key, dropped)]] with all optimal ways into it."""
+    return Standing(tuple((p, base[g][0], h - base[g][1]) for p, g, h in rows), tuple(still)), settled
+
+
+def settle(ways: Ways, quarters: dict, lo: int) -> Ways:
+    """The ways with quarters settled: values enter the running sums from there on, an unknown one ends them."""
+    top, attained, stopped = list(ways.top), ways.attained, ways.stopped
+    for q, v in quarters.items():
+        if v is not None:
+            top[q - lo:] = [s + v for s in top[q - lo:]]
+        elif q - lo < len(top):
+            del top[q - lo:]
+            attained, stopped = min(attained, len(top)), True
+    return ways._replace(settled={**ways.settled, **{q: (v, v, v is None) for q, v in quarters.items()}}, top=tuple(top), attained=attained, stopped=stopped)
+
+
+def extended(ways: Ways, dropped: tuple, quarters: dict, lo: int) -> Ways:
+    """The ways one point on."""
+    if not ways.stopped:
+        ways = ways._replace(top=(*ways.top, ways.top[-1] if ways.top else 0.0), attained=ways.attained + (ways.attained == len(ways.top)))
+    ways = ways._replace(drops=ways.drops + len(dropped), ends=ways.ends + bool(dropped), always=ways.always.union(dropped))
+    return settle(ways, quarters, lo)
+
+
+def both(a: Ways, b: Ways, scale: float, tol: float) -> Ways:
+    """Two sets of ways into one standing as one."""
+    if a.drops != b.drops:
+        return min(a, b, key=lambda w: w.drops)
+    always = a.always & b.always
+    if a.ends != b.ends:
+        return min(a, b, key=lambda w: w.ends)._replace(always=always)
+
+    def held(x: Ways, y: Ways) -> int:
+        pairs = zip(x.top[:x.attained], y.top)
+        return next((k for k, (s, other) in enumerate(pairs) if s < other and not close(s, other, scale, tol)), x.attained)
+
+    long, short = (a, b) if len(a.top) >= len(b.top) else (b, a)
+    top = tuple(max(pair) for pair in zip(long.top, short.top)) + long.top[len(short.top):]
+    settled = {}
+    for q, (low, high, lacks) in a.settled.items():
+        low2, high2, lacks2 = b.settled[q]
+        known = [v for v in (low, high, low2, high2) if v is not None]
+        settled[q] = (min(known, default=None), max(known, default=None), lacks or lacks2)
+    return a._replace(always=always, settled=settled, top=top, attained=max(held(a, b), held(b, a)), stopped=long.stopped)
+
+
+def fold(statements, lo: int, hi: int, scale: float, tol: float, may_drop, reach: int) -> Ways:
+    """All best ways through the points lo..hi as one."""
     unit = (scale or 1.0) * 1e-9
     ending: dict = {}
     for c in sorted(statements):
         ending.setdefault(c.hi, []).append(c)
-    first = Standing(((lo - 1, lo - 1, 0.0),))
-    layers = [{first.key(unit): [0, first, []]}]
+    layer = {(): (Standing(((lo - 1, lo - 1, 0.0),), ()), Ways(0, 0, frozenset(), {}, (), 0, False))}
     for point in range(lo, hi + 1):
-        options = []
         here = ending.get(point, [])
-        for keep in product(*[(True, False) if may_drop(c) else (True,) for c in here]):
-            options.append(([c for c, k in zip(here, keep) if k], tuple(c for c, k in zip(here, keep) if not k)))
-        layer: dict = {}
-        for key, (cost, standing, _) in layers[-1].items():
+        options = [(tuple(c for c, k in zip(here, keep) if k), tuple(c for c, k in zip(here, keep) if not k))
+                   for keep in product(*[(True, False) if may_drop(c) else (True,) for c in here])]
+        following: dict = {}
+        for standing, ways in layer.values():
             for kept, dropped in options:
-                after = advance(standing, point, kept, scale, tol, reach)
-                if after is None:
+                step = advance(standing, point, kept, scale, tol, reach)
+                if step is None:
                     continue
-                total = cost + len(dropped)
-                entry = layer.setdefault(after.key(unit), [total, after, []])
-                if total < entry[0]:
-                    entry[:] = [total, after, []]
-                if total == entry[0]:
-                    entry[2].append((key, dropped))
-        layers.append(layer)
-    return layers
-
-
-def parts_of(layers, lo: int):
-    """The optimal ways in parts: (first quarter, last quarter, [dropped statements of each way]). Each part starts and ends in one standing."""
-    fewest = min(entry[0] for entry in layers[-1].values())
-    live = [set() for _ in layers]
-    live[-1] = {k for k, entry in layers[-1].items() if entry[0] == fewest}
-    for i in range(len(layers) - 1, 0, -1):
-        live[i - 1] = {before for k in live[i] for before, _ in layers[i][k][2]}
-    seams = [i for i, keys in enumerate(live) if i == 0 or i == len(layers) - 1
-             or (len(keys) == 1 and layers[i][next(iter(keys))][1].joined())]
-    for a, b in zip(seams, seams[1:]):
-        ways = {k: [()] for k in live[a]}
-        for i in range(a + 1, b + 1):
-            ways = {k: [way + dropped for before, dropped in layers[i][k][2] if before in ways for way in ways[before]] for k in live[i]}
-        yield lo + a, lo + b - 1, [way for found in ways.values() for way in found]
-
-
-def heights(statements, lo: int, hi: int) -> dict:
-    """Point -> (the point it is measured from, height), spread through the statements in order of their length."""
-    touching: dict = {}
-    for c in sorted(statements):
-        touching.setdefault(c.lo - 1, []).append((c.hi, c.value))
-        touching.setdefault(c.hi, []).append((c.lo - 1, -c.value))
-    seen: dict = {}
-    for start in range(lo - 1, hi + 1):
-        if start in seen:
-            continue
-        seen[start] = (start, 0.0)
-        queue = [start]
-        for here in queue:  # grows while it is read
-            for there, step in touching.get(here, ()):
-                if there not in seen:
-                    seen[there] = (start, seen[here][1] + step)
-                    queue.append(there)
-    return seen
-
-
-def quarters(statements, lo: int, hi: int, first: int, last: int) -> dict:
-    """Values of the quarters first..last that follow from the statements."""
-    seen = heights(statements, lo, hi)
-    return {i: seen[i][1] - seen[i - 1][1] for i in range(first, last + 1) if seen[i][0] == seen[i - 1][0]}
-
-
-def verdict(ways: list, overrule: bool, first: int, last: int, scale: float, tol: float) -> dict:
-    """One value or None per quarter out of the values that each way gives."""
-    if overrule:
-        runs = [list(accumulate(takewhile(lambda v: v is not None, (w.get(i) for i in range(first, last + 1))))) for w in ways]
-        longest = max(map(len, runs))
-        top = [max(r[k] for r in runs if len(r) > k) for k in range(longest)]
-        for way, run in zip(ways, runs):
-            if len(run) == longest and all(v >= t or close(v, t, scale, tol) for v, t in zip(run, top)):
-                return way
-    out = {}
-    for i in sorted(set().union(*ways)):
-        values = [w.get(i) for w in ways]
-        agreed = None not in values and all(close(values[0], v, scale, tol) for v in values)
-        out[i] = values[0] if agreed else None
+                after, quarters = step
+                key = tuple((p, g, round(h / unit)) for p, g, h in after.points)
+                found = following.get(key)
+                if found is None or found[1].drops >= ways.drops + len(dropped):
+                    made = extended(ways, dropped, quarters, lo)
+                    following[key] = (after, made) if found is None else (found[0], both(found[1], made, scale, tol))
+        # whoever drops all that crosses this point is free of its past, so no best way has more drops than that costs
+        crossing = sum(c.lo <= point < c.hi for c in statements)
+        most = min(ways.drops for _, ways in following.values()) + crossing
+        layer = {key: (standing, ways) for key, (standing, ways) in following.items() if ways.drops <= most}
+    ends = [settle(ways, dict.fromkeys(standing.open), lo) for standing, ways in layer.values()]
+    out = ends[0]
+    for ways in ends[1:]:
+        out = both(out, ways, scale, tol)
     return out
 
 
 def repair(statements, lo: int, hi: int, overrule: bool, scale: float, tol: float, reach: int):
     """({quarter: value or None}, rejected statements). ``overrule`` lets single quarters be dropped too."""
-    layers = layers_of(statements, lo, hi, scale, tol, lambda c: overrule or c.span > 1, reach)
-    parts = list(parts_of(layers, lo))
-    # a way through one part is completed by any way through the others: they meet in one standing
-    usual = [set(ways[0]) for _, _, ways in parts]
-    values, rejected = {}, []
-    for n, (first, last, ways) in enumerate(parts):
-        elsewhere = set().union(*usual[:n], *usual[n + 1:])
-        rejected += [c for c in ways[0] if all(c in way for way in ways)]
-        ends = [len({c.hi for c in way}) for way in ways]
-        chosen = [way for way, e in zip(ways, ends) if e == min(ends)]
-        each = [quarters([c for c in statements if c not in elsewhere and c not in way], lo, hi, first, last) for way in chosen]
-        values.update(verdict(each, overrule, first, last, scale, tol))
-    return values, rejected
+    best = fold(statements, lo, hi, scale, tol, lambda c: overrule or c.span > 1, reach)
+    values = {}
+    for q, (low, high, lacks) in sorted(best.settled.items()):
+        if low is not None:
+            values[q] = low if not lacks and close(low, high, scale, tol) else None
+    if overrule and best.top and best.attained == len(best.top):
+        values = {q: v for q, v in values.items() if not best.settled[q][2]}
+        values.update((lo + k, s - before) for k, (s, before) in enumerate(zip(best.top, (0.0, *best.top))))
+    return values, sorted(best.always)
 
 
 def on_batches(tol: float, reach: int, overrule_field: str):
