@@ -7,7 +7,8 @@ byte, low bits first) and the data bytes (each rank in 1 to 4 little-endian byte
 Texts are encoded once where they lie and only ids are shuffled. Blocks are written by Spark's committer into shared storage, so a lost
 executor repeats its task. The driver holds the codebook (at most the vocabulary) and one number per partition.
 
-Defined results: a null text is encoded as an empty one, so it has the end id alone; rows with equal doc_id are ordered by their ids, null
+Defined results: a null text is encoded as an empty one, so it has the end id alone; the string of an added token in a text becomes its id, as the
+library does by default; rows with equal doc_id are ordered by their ids, null
 doc_id first; an empty table gives an empty store; other columns don't matter.
 """
 from __future__ import annotations
@@ -31,6 +32,7 @@ END = 2
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MASKS = np.array([[[k <= (c >> 2 * i & 3) for k in range(4)] for i in range(4)] for c in range(256)])
 _HELD: dict[str, PieceCache] = {}
+_DEFAULT: dict[str, tuple[Callable[[str], list[int]], list[bytes]]] = {}
 
 
 def library(path: str) -> PieceCache:
@@ -51,12 +53,31 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens", []))])
 
 
+def default_library(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """The library as its file sets it, for texts that hold an added token's string, and those strings."""
+    if path not in _DEFAULT:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _DEFAULT[path] = (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    return _DEFAULT[path]
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", end: int = END, width: str = "<u4") -> DataFrame:
     """Adds ids: those of the whole text and the end id, as little-endian unsigned integers of `width`."""
 
     def start() -> Callable[[list], list[list]]:
         cache, last = library(path), np.array([end], "<u4").tobytes()
-        return lambda texts: [[np.frombuffer(ids + last, "<u4").astype(width).tobytes() for ids in cache.texts(texts)]]
+        whole, added = default_library(path)
+
+        def work(texts: list) -> list[list]:
+            ids = cache.texts(texts)
+            for k, text in enumerate(texts):
+                if text and any(a in text for a in added):
+                    ids[k] = np.array(whole(text.decode("utf-8", "replace")), "<u4").tobytes()
+            return [[np.frombuffer(x + last, "<u4").astype(width).tobytes() for x in ids]]
+
+        return work
 
     return appended(docs, text, [T.StructField("ids", T.BinaryType())], start)
 

@@ -87,16 +87,26 @@ def test_store(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATHS[0])
-    tokenizer.encode_special_tokens = True
     folder = op3_token_store.store_path(spark)
-    op3_token_store.write_store(docs, folder, PATHS[0], block_ids=500)
+    odd = [(900, "hello <|endoftext|> world"), (901, "<|endoftext|>"), (902, " lead of <|endoftext|x")]
+    op3_token_store.write_store(docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")), folder, PATHS[0], block_ids=500)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["c"]) for r in op3_token_store.read_store(spark, folder).withColumn("c", F.crc32("ids")).collect()}
-    assert got == brute.op3(texts(), lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+    assert got == brute.op3(texts() + odd, lambda t: tokenizer.encode(t, add_special_tokens=False).ids) and 50256 in tokenizer.encode(odd[0][1]).ids
     empty = op3_token_store.store_path(spark)
     op3_token_store.write_store(docs.limit(0), empty, PATHS[0])
     assert op3_token_store.read_store(spark, empty).count() == 0
 
 
+def test_cached_pieces_are_the_librarys():
+    rng, cache = random.Random(6), op3_token_store.library(PATHS[0])
+    marks = ["a", "The", " the", " ", "  ", "\n", "é", " Über", "漢", "'s", " don't", "12", " 3", ".", "!?", "\t", "the", "ing", "\xa0", "_"]
+    rows = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    for most in (450_000, 20):
+        cache.most = most
+        assert [np.frombuffer(x, "<u4").tolist() for k in range(0, 6000, 500) for x in cache.texts([t.encode() for t in rows[k : k + 500]])] == [e.ids for e in cache.tokenizer.encode_batch(rows, add_special_tokens=False)]
+    cache.most = 450_000
+
+
 def test_code_lengths():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 4_000_000_000], "<u4")
     control, data = op3_token_store.pack(ranks)
