@@ -165,21 +165,26 @@ def repair(statements, lo: int, hi: int, overrule: bool, scale: float, tol: floa
 
 
 def on_batches(tol: float, reach: int, overrule_field: str):
-    """The function for mapInArrow over packed stretches; rows go in and out one stretch at a time."""
+    """The function for mapInArrow over packed stretches; rows go in and out one stretch at a time. A stretch that can't be solved (numbers
+    beyond the floating range) gives one row with its error, so that one company's damage stays its own."""
     import pyarrow as pa
 
     dropped = pa.list_(pa.struct([("span", pa.int32()), ("hi", pa.int32())]))
     shape = pa.schema([("cik", pa.int64()), ("field", pa.string()), ("island", pa.int64()), ("pos", pa.int32()), ("value", pa.float64()),
-                       ("dropped", dropped)])
+                       ("dropped", dropped), ("error", pa.string())])
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 statements = [Statement(c["span"], c["hi"], c["lo"], c["value"]) for c in row["cs"]]
-                values, rejected = repair(statements, row["from_pos"], row["to_pos"], row["field"] == overrule_field, row["scale"], tol, reach)
-                gone = [{"span": c.span, "hi": c.hi} for c in rejected]
                 head = {k: row[k] for k in ("cik", "field", "island")}
+                try:
+                    values, rejected = repair(statements, row["from_pos"], row["to_pos"], row["field"] == overrule_field, row["scale"], tol, reach)
+                except (ArithmeticError, ValueError) as e:
+                    out.append({**head, "pos": None, "value": None, "dropped": [], "error": f"{row['field']}: {type(e).__name__}: {e}"})
+                    continue
+                gone = [{"span": c.span, "hi": c.hi} for c in rejected]
                 out += [{**head, "pos": i, "value": v, "dropped": gone} for i, v in sorted(values.items())] or [
                     {**head, "pos": None, "value": None, "dropped": gone}]
             yield pa.RecordBatch.from_pylist(out, schema=shape)

@@ -1,11 +1,14 @@
-"""Facts to period rows."""
+"""Facts to period rows (R10, R14), with an outcome for every company."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarterdeck import tags as t
 from quarterdeck.config import FLOW_FIELDS, INGEST, PERIOD_FIELDS
 from quarterdeck.functions.lineitems import flow_lines
+from quarterdeck.functions.scalars import finite
 from quarterdeck.operators import carry, dates, facts as fact_ops, periods as period_ops, ytd
 from quarterdeck.operators.checkpoint import cut
 from quarterdeck.operators.upsert import latest_facts
@@ -45,22 +48,49 @@ def annual_lines(flows: DataFrame, rejected: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("derived_tag"))
 
 
-def normalize(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(periods with source_tags, rejections) of a fact log. All steps are keyed by company."""
-    latest = cut(latest_facts(log.where(F.col("tag").isin(t.TRACKED_TAGS))))
+class Normalized(NamedTuple):
+    """periods with source_tags; rejections (cik, period_end, period_type, field, reason, value); failures (cik, reason), companies that have neither."""
+    periods: DataFrame
+    rejections: DataFrame
+    failures: DataFrame
+
+
+def fact_fault() -> Column:
+    """Why a fact can't be reckoned with, or NULL."""
+    return (F.when(F.col("period_end").isNull(), "fact without a period end").when(F.col("qtrs").isNull() | (F.col("qtrs") < 0), "fact without a period length")
+            .when(F.col("filed_date").isNull(), "fact without a filing date").when(~F.coalesce(finite("value"), F.lit(False)), "fact without a finite value"))
+
+
+def normalize(log: DataFrame) -> Normalized:
+    """All steps are keyed by company. A company fails when a fact that no later filing replaced is faulty, or when a stretch of it can't be
+    solved; it then has no rows at all, and the others are not touched."""
+    tracked = cut(latest_facts(log.where(F.col("tag").isin(t.TRACKED_TAGS))).withColumn("fault", fact_fault()))
+    latest = tracked.where("fault IS NULL").drop("fault")
     dated = cut(dates.canonical_dates(latest, cut))
     values = cut(fact_ops.one_value(dated))
     keys = ["cik", "qtrs", "period_end"]
     flows = cut(flow_lines(fact_ops.wide(values.where("qtrs <> 0"), keys, t.FLOW_TAGS), keys))
-    quarters, rejected = ytd.resolve_quarters(flows, ytd.fiscal_grid(values), cut)
-    lines = quarter_lines(flows, quarters).unionByName(annual_lines(flows, rejected))
+    quarters, rejected, unsolved = ytd.resolve_quarters(flows, ytd.fiscal_grid(values), cut)
+    faulty = tracked.where("fault IS NOT NULL").select("cik", F.concat_ws(" ", "fault", F.lit("of"), "tag").alias("reason"))
+    failures = cut(faulty.unionByName(unsolved).groupBy("cik").agg(F.min("reason").alias("reason")))
+    lines = quarter_lines(flows, quarters).unionByName(annual_lines(flows, rejected)).join(failures, "cik", "left_anti")
     stocks = carry.stock_lines(carry.carried(values, dates.absent_tags(dated), lines.select("cik", "period_end")))
     rows = lines.join(stocks, ["cik", "period_end"], "left").withColumn("fcf", F.col("ocf") - F.col("capex"))
     rows = rows.withColumn("source_tags", _tag_map([*FLOW_LINES, *STOCK_LINES, "derived"]))
     checked = cut(period_ops.validate(rows.select("cik", "period_end", "period_type", *PERIOD_FIELDS, "source_tags")))
     ttm = period_ops.validate(period_ops.trailing_year(checked.where("period_type = 'Q'").drop("rejections")))
     out = checked.unionByName(ttm)
-    return out.drop("rejections"), period_ops.rejections(out)
+    return Normalized(out.drop("rejections"), period_ops.rejections(out), failures)
+
+
+def outcomes(universe: DataFrame, result: Normalized) -> DataFrame:
+    """One row per company of the universe: status periods, no_data or failed, its numbers of period rows and rejected fields, and the reason of a failure."""
+    rows = result.periods.where("period_type <> 'TTM'").groupBy("cik").agg(F.count(F.lit(1)).alias("rows"))
+    lost = result.rejections.groupBy("cik").agg(F.count(F.lit(1)).alias("rejected"))
+    every = universe.select("cik").distinct().join(result.failures, "cik", "left").join(rows, "cik", "left").join(lost, "cik", "left")
+    status = F.when(F.col("reason").isNotNull(), "failed").when(F.col("rows") > 0, "periods").otherwise("no_data")
+    return every.select("cik", status.alias("status"), (F.col("reason").isNotNull()).alias("failed"), F.coalesce("rows", F.lit(0)).alias("rows"),
+                        F.coalesce("rejected", F.lit(0)).alias("rejected"), "reason")
 
 
 def failure_gate(outcomes: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Writing result tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
 
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+from quarterdeck import schemas
 from quarterdeck.operators.checkpoint import cut
 
 
@@ -56,13 +62,42 @@ def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = 64
     _replace_partitions(rows, path, "bucket", touched)
 
 
-def run_stats(job: str, counts: DataFrame, status: str = "succeeded") -> DataFrame:
-    """The one-row outcome of a job next to its counters."""
-    now = F.current_timestamp()
-    return counts.select(F.lit(job).alias("job"), now.alias("finished_at"), F.lit(status).alias("status"), "*")
+class Run:
+    """A running job. ``stats`` takes single values; ``staged`` counts rows while they are materialised."""
+
+    def __init__(self, job: str):
+        self.id, self.job, self.stats = uuid.uuid4().hex, job, {}
+
+    def staged(self, df: DataFrame, **counters: Column) -> DataFrame:
+        """The rows, materialised once; the aggregates over them, seen in the same pass, are then in the run's stats."""
+        watch = Observation(f"{self.job}-{uuid.uuid4().hex}")
+        rows = cut(df.observe(watch, *[c.alias(name) for name, c in counters.items()]))
+        self.stats.update(watch.get)
+        return rows
+
+    def texts(self) -> dict[str, str]:
+        return {k: str(v) for k, v in self.stats.items() if v is not None}
+
+
+@contextmanager
+def recorded(spark: SparkSession, job: str, path: str) -> Iterator[Run]:
+    """A row when the job starts and one when it ends, also after an error, which is raised again."""
+    run, started = Run(job), datetime.now(timezone.utc)
+
+    def append(status: str, finished: datetime | None, stats: dict, error: str | None) -> None:
+        spark.createDataFrame([(run.id, job, started, finished, status, stats, error)], schemas.JOB_RUN).coalesce(1).write.mode("append").parquet(path)
+
+    append("running", None, {}, None)
+    try:
+        yield run
+    except BaseException as e:
+        append("failed", datetime.now(timezone.utc), run.texts(), f"{type(e).__name__}: {e}"[:2000])
+        raise
+    append("succeeded", datetime.now(timezone.utc), run.texts(), None)
 
 
-def append_run(counts: DataFrame, job: str, path: str, status: str = "succeeded", error: str | None = None) -> None:
-    stats = F.map_from_arrays(F.array(*[F.lit(c) for c in counts.columns]), F.array(*[F.col(c).cast("string") for c in counts.columns]))
-    (run_stats(job, counts.select(stats.alias("stats")), status).withColumn("error", F.lit(error).cast("string"))
-     .write.mode("append").parquet(path))
+def runs(log: DataFrame) -> DataFrame:
+    """The last state of every run; one that died without a word is still running."""
+    columns = [c for c in log.columns if c != "run_id"]
+    last = log.groupBy("run_id").agg(F.max_by(F.struct(*columns), F.coalesce("finished_at", F.to_timestamp(F.lit("0001-01-01")))).alias("r"))
+    return last.select("run_id", "r.*")

@@ -32,7 +32,9 @@ SELECT cik, qtrs, period_end, revenue, revenue_tag, coalesce(GrossProfit, revenu
        WHEN revenue - CostsAndExpenses IS NOT NULL THEN revenue_tag || '-CostsAndExpenses' END AS operating_income_tag,
   {tg.NET_INCOME} AS net_income, coalesce({', '.join(tg.OCF_CHAIN)}) AS ocf,
   CASE WHEN {tg.OCF_CHAIN[0]} IS NOT NULL THEN '{tg.OCF_CHAIN[0]}' WHEN {tg.OCF_CHAIN[1]} IS NOT NULL THEN '{tg.OCF_CHAIN[1]}' END AS ocf_tag,
-  coalesce({', '.join(tg.CAPEX_CHAIN)}) AS capex, {tg.SBC} AS sbc, {tg.RD} AS rd_expense, {tg.DILUTED_SHARES} AS shares_diluted FROM o_revenue"""
+  coalesce({', '.join(tg.CAPEX_CHAIN)}) AS capex, {tg.SBC} AS sbc, {tg.RD} AS rd_expense, {tg.DILUTED_SHARES} AS shares_diluted,
+  {', '.join(f"CASE WHEN {x} IS NOT NULL THEN '{x}' END AS {f}_tag" for f, x in (('net_income', tg.NET_INCOME), ('sbc', tg.SBC), ('rd_expense', tg.RD), ('shares_diluted', tg.DILUTED_SHARES)))},
+  CASE WHEN {tg.CAPEX_CHAIN[0]} IS NOT NULL THEN '{tg.CAPEX_CHAIN[0]}' WHEN {tg.CAPEX_CHAIN[1]} IS NOT NULL THEN '{tg.CAPEX_CHAIN[1]}' END AS capex_tag FROM o_revenue"""
 
 
 def _flow(id_, *columns):
@@ -95,6 +97,48 @@ SELECT *, nullif(CASE WHEN DebtLongtermAndShorttermCombinedAmount IS NOT NULL TH
   WHEN spec IS NOT NULL OR st IS NOT NULL THEN coalesce(spec, 0) + coalesce(st, 0) END, 0) AS total_debt FROM o_debt2"""
 
 
+# ---- the names behind each amount -------------------------------------------------------------------------------
+def _named(xs):
+    return "NULL::VARCHAR" if not xs else "CASE " + " ".join(f"WHEN {x} IS NOT NULL THEN '{x}'" for x in xs) + " END"
+
+
+def _family_name(lists):
+    total, *parts = lists
+    names = ", ".join(_named(x) for x in parts)
+    whole = f"coalesce({', '.join(total)})" if total else "NULL::DOUBLE"
+    both = " + ".join(f"coalesce({', '.join([*x, '0'])})" for x in parts)
+    return f"CASE WHEN {whole} >= {both} OR coalesce({', '.join([*parts[0], *parts[1]])}) IS NULL THEN {_named(total)} ELSE concat_ws('+', {names}) END"
+
+
+def _leased_name(anchor, region):
+    a, b = tg.FINANCE_LEASES[region]
+    ok = lambda x: f"z_{x} IS NOT NULL AND coalesce(d_{x} = d_{anchor}, true)"
+    return f"CASE WHEN {ok(a)} THEN '{a}' WHEN {ok(b)} THEN '{b}' END"
+
+
+def _joined_names(*parts):
+    """One '+' list of the names in all parts, each once, in their order."""
+    return f"array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(concat_ws('+', {', '.join(parts)}), '+'), lambda n: [n])), lambda acc, n: CASE WHEN list_contains(acc, n[1]) THEN acc ELSE acc || n END), '+')"
+
+
+_no_long = "LongTermDebtNoncurrent IS NULL AND LongTermDebt IS NULL"
+ORACLE["o_debt3"] = f"""
+SELECT *, concat_ws('+', {', '.join(f'CASE WHEN fam_{f} IS NOT NULL THEN {_family_name(x)} END' for f, x in tg.SPECIFIC_FAMILIES.items())}) AS spec_name, {_named(tg.SHORT_TERM_BORROWINGS)} AS st_name,
+  {_leased_name(tg.LEASED_SPANNING, 'spanning')} AS sp_lease, {_leased_name(tg.LEASED_NONCURRENT, 'noncurrent')} AS nc_lease, {_leased_name(tg.DEBT_CURRENT, 'current')} AS cl_lease FROM o_debt"""
+ORACLE["o_debt4"] = f"""
+SELECT *, CASE WHEN by_rollup THEN '{tg.DEBT_CURRENT}' WHEN LongTermDebtCurrent IS NOT NULL AND st IS NOT NULL THEN
+    CASE WHEN NOT {_contained} THEN 'LongTermDebtCurrent+' || st_name WHEN LongTermDebtCurrent >= st THEN 'LongTermDebtCurrent' ELSE st_name END
+    WHEN LongTermDebtCurrent IS NOT NULL THEN 'LongTermDebtCurrent' WHEN st IS NOT NULL THEN st_name END AS cur_name FROM o_debt3"""
+ORACLE["o_debt_name"] = f"""
+SELECT cik, period_end, CASE WHEN total_debt IS NULL THEN NULL WHEN {tg.DEBT_COMBINED} IS NOT NULL THEN '{tg.DEBT_COMBINED}'
+  WHEN {_no_long} AND sp > 0 AND (spec IS NULL OR sp >= spec) THEN concat_ws('-', '{tg.LEASED_SPANNING}', sp_lease)
+  WHEN {_no_long} AND nc > 0 AND (spec IS NULL OR nc >= spec) THEN {_joined_names(f"concat_ws('-', '{tg.LEASED_NONCURRENT}', nc_lease)", "CASE WHEN by_rollup AND cl IS NOT NULL THEN CASE WHEN cur > cl THEN cur_name || '-' || cl_lease END ELSE cur_name END")}
+  WHEN LongTermDebtNoncurrent IS NOT NULL THEN {_joined_names("CASE WHEN coalesce(LongTermDebt, 0) > LongTermDebtNoncurrent + coalesce(LongTermDebtCurrent, 0) THEN 'LongTermDebt' WHEN LongTermDebtCurrent IS NOT NULL THEN 'LongTermDebtNoncurrent+LongTermDebtCurrent' ELSE 'LongTermDebtNoncurrent' END", "CASE WHEN cur > inside THEN cur_name END")}
+  WHEN LongTermDebt IS NOT NULL THEN {_joined_names("CASE WHEN spec > LongTermDebt THEN spec_name ELSE 'LongTermDebt' END", "cur_name")}
+  WHEN LongTermDebtCurrent IS NOT NULL OR DebtCurrent IS NOT NULL THEN CASE WHEN spec > cur THEN spec_name ELSE cur_name END
+  ELSE concat_ws('+', nullif(spec_name, ''), st_name) END AS total_debt_tag FROM o_debt4"""
+
+
 @query("L6_cash", f"SELECT cik, period_end, {tg.CASH} + coalesce({tg.SHORT_TERM_INVESTMENTS}, 0) AS cash FROM o_debt")
 def l6(t):
     return carry.stock_lines(carried(t)).select("cik", "period_end", "cash")

@@ -232,13 +232,20 @@ def d9(t):
       JOIN company_industry ci ON ci.cik = c.cik JOIN market_data m ON m.cik = c.cik GROUP BY ci.industry_slug""")
 
 
-@query("D0_facts_to_ranking")
+# the statements of the ranking, on the periods of the chain instead of the mapped ones
+_CHAIN = {"a_q": "SELECT * FROM o_norm WHERE period_type = 'Q'", "a_annual": "SELECT * FROM o_norm WHERE period_type = 'A'", "o_ttm": "SELECT * FROM o_norm WHERE period_type = 'TTM'"}
+
+
+@query("D0_facts_to_ranking", """
+SELECT s.cik, s.industry_slug, c.category, round(t.score, 6) AS score, round(t.completeness, 6) AS completeness, CASE WHEN v.reason IS NULL THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS fair_value_status,
+  mo.signal AS moat_signal, CASE WHEN u.score >= 0.75 THEN 'SEVERE' WHEN u.score >= 0.5 THEN 'ELEVATED' WHEN u.score >= 0.25 THEN 'MODERATE' ELSE 'MINIMAL' END AS uncertainty_level
+FROM o_met s LEFT JOIN o_total t ON t.cik = s.cik LEFT JOIN o_category c ON c.cik = s.cik LEFT JOIN o_fair v ON v.cik = s.cik LEFT JOIN o_moat mo ON mo.cik = s.cik LEFT JOIN o_unc u ON u.cik = s.cik""", _CHAIN)
 def d0(t):
     """The whole chain: fact log, reconciliation, periods, scores, ranking."""
     from quarterdeck.functions.metrics import measured
     from quarterdeck.operators.peers import industry_stats
     from quarterdeck.plans.snapshot import base_snapshot
-    normalized, _ = norm.normalize(t.a_facts)
+    normalized = norm.normalize(t.a_facts).periods
     base = cut(measured(base_snapshot(t.a_company, t.a_ci, t.a_industry, normalized.drop("source_tags"), t.a_market)))
     scored = scoring.evaluate(base.join(industry_stats(base), "industry_slug", "left"))
     return scored.select("cik", "industry_slug", "category", r("score").alias("score"), r("completeness").alias("completeness"), "fair_value_status", "moat_signal", "uncertainty_level")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quarterdeck import tags as tg
-from quarterdeck.config import FLOW_FIELDS
+from quarterdeck.config import FLOW_FIELDS, PERIOD_FIELDS
 from quarterdeck.functions.lineitems import flow_lines
 from quarterdeck.operators import carry, dates, facts as fo, ytd
 from quarterdeck.operators.checkpoint import cut
@@ -184,9 +184,12 @@ def r12(t):
     return rows.where("basic IS NOT NULL").select("cik", "period_end", F.col("basic.value").alias("basic"))
 
 
-@query("R13_guarded_cover_shares", f"""
+_GUARDED = f"""
 SELECT p.cik, p.period_end, CASE WHEN c.value > 0 AND b.basic > 0 AND c.value < 0.4 * b.basic AND b.basic <= 100 * c.value THEN NULL ELSE c.value END AS shares
-FROM o_probe p LEFT JOIN o_asof c ON c.cik = p.cik AND c.period_end = p.period_end AND c.tag = '{tg.COVER_SHARES}' LEFT JOIN o_basic b ON b.cik = p.cik AND b.period_end = p.period_end""")
+FROM o_probe p LEFT JOIN o_asof c ON c.cik = p.cik AND c.period_end = p.period_end AND c.tag = '{tg.COVER_SHARES}' LEFT JOIN o_basic b ON b.cik = p.cik AND b.period_end = p.period_end"""
+
+
+@query("R13_guarded_cover_shares", _GUARDED)
 def r13(t):
     return carried(t).select("cik", "period_end", carry.guarded_shares(F.col(f"{tg.COVER_SHARES}.value"), F.col("basic.value")).alias("shares"))
 
@@ -262,11 +265,88 @@ def r6(t):
     return rows.select("cik", "field", F.explode("qs").alias("q")).select("cik", "field", F.col("q.pos").alias("pos"), F.get("q.found", F.lit(0)).alias("value"))
 
 
-@query("R7_repaired_quarters")
+# every way through the statements of a contradictory stretch, one statement a step: points are joined at a height, or the statement is dropped
+_ISLE = "cik, field, from_pos"
+_on = lambda x, y, keys=_ISLE: " AND ".join(f"{x}.{k.strip()} = {y}.{k.strip()}" for k in keys.split(","))
+ORACLE["o_odd"] = f"SELECT i.* FROM o_island i WHERE NOT EXISTS (SELECT 1 FROM o_sound s WHERE {_on('s', 'i')})"
+ORACLE["o_stated"] = f"""
+SELECT c.*, c.span >= 2 OR c.field = 'revenue' AS free, CAST(row_number() OVER (PARTITION BY c.cik, c.field, c.from_pos ORDER BY c.hi, c.span) AS INT) AS k,
+  CAST(count(*) OVER (PARTITION BY c.cik, c.field, c.from_pos) AS INT) AS n FROM o_num_con c JOIN o_odd i ON {_on('c', 'i')}"""
+ORACLE["o_way"] = f"""
+SELECT DISTINCT {_ISLE}, to_pos, scale, n, 0 AS k, range(0, to_pos - from_pos + 2) AS root, list_transform(range(0, to_pos - from_pos + 2), lambda x: 0.0::DOUBLE) AS off, 0 AS drops, 0::BIGINT AS gone FROM o_stated
+UNION ALL
+SELECT w.cik, w.field, w.from_pos, w.to_pos, w.scale, w.n, w.k + 1,
+  CASE WHEN keep THEN list_transform(w.root, lambda r: CASE WHEN r = w.root[s.hi - w.from_pos + 2] THEN w.root[s.lo - w.from_pos + 1] ELSE r END) ELSE w.root END,
+  CASE WHEN keep AND w.root[s.lo - w.from_pos + 1] <> w.root[s.hi - w.from_pos + 2] THEN list_transform(w.off, lambda o, i: CASE WHEN w.root[i] = w.root[s.hi - w.from_pos + 2]
+    THEN o + w.off[s.lo - w.from_pos + 1] + s.value - w.off[s.hi - w.from_pos + 2] ELSE o END) ELSE w.off END,
+  CASE WHEN keep THEN w.drops ELSE w.drops + 1 END, CASE WHEN keep THEN w.gone ELSE w.gone + (1::BIGINT << s.k) END
+FROM o_way w JOIN o_stated s ON {_on('s', 'w')} AND s.k = w.k + 1 JOIN (VALUES (true), (false)) v(keep) ON CASE WHEN NOT keep THEN s.free WHEN w.root[s.lo - w.from_pos + 1] <> w.root[s.hi - w.from_pos + 2] THEN true
+  ELSE abs(w.off[s.hi - w.from_pos + 2] - w.off[s.lo - w.from_pos + 1] - s.value) <= 0.005::DOUBLE * greatest(abs(w.off[s.hi - w.from_pos + 2] - w.off[s.lo - w.from_pos + 1]), abs(s.value), w.scale) END"""
+ORACLE["o_fewest"] = f"""
+SELECT w.*, (SELECT count(DISTINCT s.hi) FROM o_stated s WHERE {_on('s', 'w')} AND (w.gone >> s.k) & 1 = 1) AS ends FROM (
+  SELECT *, min(drops) OVER (PARTITION BY {_ISLE}) AS least FROM o_way WHERE k = n) w WHERE drops = least"""
+ORACLE["o_dropped"] = f"""
+SELECT s.cik, s.field, s.from_pos, s.span, s.hi FROM o_stated s JOIN o_fewest w ON {_on('s', 'w')} GROUP BY ALL HAVING bool_and((w.gone >> s.k) & 1 = 1)"""
+ORACLE["o_told"] = f"""
+SELECT {_ISLE}, gone, scale, CAST(from_pos + i - 1 AS INT) AS pos, CASE WHEN root[i] = root[i + 1] THEN off[i + 1] - off[i] END AS v FROM (
+  SELECT *, unnest(range(1, to_pos - from_pos + 2)) AS i FROM (SELECT *, min(ends) OVER (PARTITION BY {_ISLE}) AS least_ends FROM o_fewest) x WHERE ends = least_ends) y"""
+ORACLE["o_told_run"] = f"""
+SELECT *, sum(v) OVER w AS run, count(*) OVER w = count(v) OVER w AS known FROM o_told WINDOW w AS (PARTITION BY {_ISLE}, gone ORDER BY pos)"""
+ORACLE["o_top"] = f"SELECT {_ISLE}, pos, max(run) AS top FROM o_told_run WHERE known GROUP BY ALL"
+ORACLE["o_high"] = f"""
+SELECT {_ISLE} FROM (SELECT r.cik, r.field, r.from_pos, r.gone, count(*) AS n FROM o_told_run r JOIN o_top t ON {_on('t', 'r')} AND t.pos = r.pos
+  WHERE r.known AND r.field = 'revenue' AND (r.run >= t.top OR abs(r.run - t.top) <= 0.005::DOUBLE * greatest(abs(r.run), abs(t.top), r.scale)) GROUP BY ALL) x
+WHERE n = (SELECT count(*) FROM o_top t WHERE {_on('t', 'x')}) GROUP BY ALL"""
+ORACLE["o_agreed"] = f"""
+SELECT {_ISLE}, pos, count(v) AS known, count(*) AS ways, CASE WHEN count(v) = count(*) AND max(v) - min(v) <= 0.005::DOUBLE * greatest(abs(min(v)), abs(max(v)), max(scale)) THEN min(v) END AS v FROM o_told GROUP BY {_ISLE}, pos"""
+ORACLE["o_mended"] = f"""
+SELECT a.cik, a.field, a.from_pos, a.pos, CASE WHEN h.cik IS NOT NULL AND t.pos IS NOT NULL THEN t.top - coalesce(b.top, 0) ELSE a.v END AS value
+FROM o_agreed a LEFT JOIN o_high h ON {_on('h', 'a')} LEFT JOIN o_top t ON {_on('t', 'a')} AND t.pos = a.pos LEFT JOIN o_top b ON {_on('b', 'a')} AND b.pos = a.pos - 1
+WHERE a.known > 0 AND NOT (h.cik IS NOT NULL AND t.pos IS NULL AND a.known < a.ways)"""
+
+
+@query("R7_repaired_quarters", f"""SELECT m.cik, m.field, m.from_pos, m.pos, m.value, (SELECT string_agg(d.span || ':' || d.hi, ',' ORDER BY d.span, d.hi) FROM o_dropped d WHERE {_on('d', 'm')}) AS dropped FROM o_mended m""")
 def r7(t):
     rows = numbered(t)
-    odd = cut(ytd.stretches(rows)).where("NOT agrees").select("cik", "field", "island").distinct()
-    return ytd.solve(rows, cut).join(odd, ["cik", "field", "island"]).select("cik", "field", "island", "pos", "value", F.size("dropped").alias("dropped"))
+    odd = cut(ytd.stretches(rows)).where("NOT agrees").select("cik", "field", "island", "from_pos").distinct()
+    gone = F.array_join(F.transform(F.array_sort("dropped"), lambda d: F.concat_ws(":", d["span"], d["hi"])), ",")
+    return ytd.solve(rows, cut).where("pos IS NOT NULL").join(odd, ["cik", "field", "island"]).select("cik", "field", "from_pos", "pos", "value", F.nullif(gone, F.lit("")).alias("dropped"))
+
+
+# quarters of all stretches, judged beside what was reported
+ORACLE["o_solved"] = f"SELECT q.cik, q.field, q.from_pos, CAST(q.pos AS INT) AS pos, q.value FROM o_quarter q JOIN o_sound s ON {_on('s', 'q')} UNION ALL SELECT cik, field, from_pos, pos, value FROM o_mended"
+ORACLE["o_beside"] = f"""
+SELECT *, value IS NULL OR reported IS NULL OR abs(reported - value) > 0.005::DOUBLE * greatest(abs(reported), abs(value), scale) AS derived FROM (
+  SELECT s.*, g.period_end, f.value AS reported, z.scale FROM o_solved s JOIN o_grid g ON g.cik = s.cik AND g.pos = s.pos
+  JOIN (SELECT DISTINCT {_ISLE}, scale FROM o_num_con) z ON {_on('z', 's')} LEFT JOIN o_flow_long f ON f.cik = s.cik AND f.field = s.field AND f.period_end = g.period_end AND f.qtrs = 1) x"""
+ORACLE["o_judged"] = f"""
+SELECT b.*, b.derived AND coalesce(j.n >= 2 AND j.low = j.high AND j.low <> 0 AND sign(b.value) = -j.low AND abs(b.value) > 2 * j.most, false) AS bad
+FROM o_beside b LEFT JOIN (SELECT a.cik, a.field, a.from_pos, a.pos, count(*) AS n, min(sign(o.value)) AS low, max(sign(o.value)) AS high, max(abs(o.value)) AS most FROM o_beside a JOIN o_beside o ON {_on('o', 'a')}
+  AND o.pos <> a.pos AND o.value IS NOT NULL AND o.reported IS NOT NULL GROUP BY ALL) j ON {_on('j', 'b')} AND j.pos = b.pos"""
+ORACLE["o_resolved"] = "SELECT cik, period_end, field, CASE WHEN NOT bad THEN value END AS value, derived FROM o_judged WHERE bad OR value IS NOT NULL OR reported IS NOT NULL"
+ORACLE["o_rejected"] = """
+SELECT d.cik, d.span, g.period_end, d.field FROM o_dropped d JOIN o_grid g ON g.cik = d.cik AND g.pos = d.hi UNION
+SELECT c.cik, c.span, c.period_end, c.field FROM o_judged j JOIN o_num_con c ON c.cik = j.cik AND c.field = j.field AND c.hi = j.pos AND c.span >= 2 WHERE j.bad"""
+_LINES = [*FLOW_FIELDS, "shares_diluted"]
+ORACLE["o_resolved_wide"] = f"""
+SELECT cik, period_end, {', '.join(f"max(value) FILTER (field = '{f}') AS r_{f}, bool_or(derived) FILTER (field = '{f}') AS d_{f}" for f in FLOW_FIELDS)} FROM o_resolved GROUP BY ALL"""
+_tag = lambda f: f"CASE WHEN r.d_{f} THEN CASE WHEN r.r_{f} IS NOT NULL THEN 'cumulative_diff' END ELSE f.{f}_tag END AS {f}_tag"
+ORACLE["o_qline"] = f"""
+SELECT coalesce(f.cik, r.cik) AS cik, coalesce(f.period_end, r.period_end) AS period_end, 'Q' AS period_type,
+  {', '.join(f'CASE WHEN r.d_{f} IS NOT NULL THEN r.r_{f} ELSE f.{f} END AS {f}' for f in FLOW_FIELDS)}, f.shares_diluted, {', '.join(_tag(f) for f in FLOW_FIELDS)}, f.shares_diluted_tag,
+  CASE WHEN {' OR '.join(f'coalesce(r.d_{f}, false)' for f in FLOW_FIELDS)} THEN 'cumulative_diff' END AS derived_tag
+FROM (SELECT * FROM o_flow WHERE qtrs = 1) f FULL JOIN o_resolved_wide r ON r.cik = f.cik AND r.period_end = f.period_end"""
+_gone = lambda f: f"EXISTS (SELECT 1 FROM o_rejected g WHERE g.cik = f.cik AND g.span = 4 AND g.period_end = f.period_end AND g.field = '{f}')"
+ORACLE["o_aline"] = f"""
+SELECT f.cik, f.period_end, 'A' AS period_type, {', '.join(f'CASE WHEN NOT {_gone(f)} THEN f.{f} END AS {f}' for f in FLOW_FIELDS)}, f.shares_diluted,
+  {', '.join(f'CASE WHEN NOT {_gone(f)} THEN f.{f}_tag END AS {f}_tag' for f in FLOW_FIELDS)}, f.shares_diluted_tag, NULL AS derived_tag FROM o_flow f WHERE f.qtrs = 4"""
+
+
+def resolved(t):
+    """(flows, quarters, rejections) as the whole chain makes them."""
+    v = values(t)
+    f = cut(flows(t, v))
+    return f, *[cut(x) for x in ytd.resolve_quarters(f, ytd.fiscal_grid(v), cut)[:2]]
 
 
 _YEAR = """SELECT cik, period_end, CAST(year(period_end) AS INT) AS y, CASE WHEN (cik + quarter(period_end)) % 5 = 0 THEN -3 * operating_income ELSE operating_income END AS v FROM a_q"""
@@ -283,33 +363,49 @@ def r8(t):
     return rows.select("cik", "period_end", F.coalesce(ytd.implausible(F.col("v"), F.col("others")), F.lit(False)).alias("implausible"))
 
 
-def _gone(f):
-    return f.where("qtrs = 4 AND ocf < capex").select("cik", F.col("qtrs").alias("span"), "period_end", F.lit("ocf").alias("field"))
-
-
-@query("R9_rejected_annual_fields", """SELECT cik, period_end, revenue, CASE WHEN ocf < capex THEN NULL ELSE ocf END AS ocf, CASE WHEN ocf < capex THEN NULL ELSE ocf_tag END AS ocf_tag FROM o_flow WHERE qtrs = 4""")
+@query("R9_rejected_annual_fields", f"SELECT cik, period_end, {', '.join(f'{f}, {f}_tag' for f in _LINES)} FROM o_aline")
 def r9(t):
-    f = cut(flows(t))
-    return norm.annual_lines(f, _gone(f)).select("cik", "period_end", "revenue", "ocf", "ocf_tag")
+    f, _, rejected = resolved(t)
+    return norm.annual_lines(f, rejected).select("cik", "period_end", *[c for f in _LINES for c in (f, f"{f}_tag")])
 
 
-_Q4 = "SELECT cik, period_end, 'revenue' AS field, revenue AS value, cik % 2 = 0 AS derived FROM a_full WHERE quarter(period_end) = 4"
-
-
-@query("R10_quarter_assembly", f"""
-SELECT coalesce(f.cik, r.cik) AS cik, coalesce(f.period_end, r.period_end) AS period_end, CASE WHEN r.cik IS NOT NULL THEN r.value ELSE f.revenue END AS revenue, f.ocf,
-       CASE WHEN r.derived THEN 'cumulative_diff' ELSE f.revenue_tag END AS revenue_tag, CASE WHEN r.derived THEN 'cumulative_diff' END AS derived_tag
-FROM (SELECT * FROM o_flow WHERE qtrs = 1) f FULL JOIN ({_Q4}) r ON r.cik = f.cik AND r.period_end = f.period_end""")
+@query("R10_quarter_assembly", f"SELECT cik, period_end, {', '.join(f'{f}, {f}_tag' for f in _LINES)}, derived_tag FROM o_qline")
 def r10(t):
-    return norm.quarter_lines(cut(flows(t)), t.sql(_Q4)).select("cik", "period_end", "revenue", "ocf", "revenue_tag", "derived_tag")
+    f, quarters, _ = resolved(t)
+    return norm.quarter_lines(f, quarters).select("cik", "period_end", *[c for f in _LINES for c in (f, f"{f}_tag")], "derived_tag")
 
 
-@query("U3_quarter_ends", f"SELECT cik, period_end FROM o_flow WHERE qtrs = 1 UNION SELECT cik, period_end FROM ({_Q4}) r")
+@query("U3_quarter_ends", "SELECT cik, period_end FROM o_flow WHERE qtrs = 1 UNION SELECT cik, period_end FROM o_resolved")
 def u3(t):
-    return norm.quarter_lines(cut(flows(t)), t.sql(_Q4)).select("cik", "period_end")
-
-
-@query("R14_normalized_periods")
+    f, quarters, _ = resolved(t)
+    return norm.quarter_lines(f, quarters).select("cik", "period_end")
+
+
+# ---- the whole chain --------------------------------------------------------------------------------------------
+_STOCKS = ["cash", "total_debt", "equity", "shares_outstanding"]
+ORACLE["o_stock"] = f"""
+SELECT p.cik, p.period_end, d.{tg.CASH} + coalesce(d.{tg.SHORT_TERM_INVESTMENTS}, 0) AS cash, CASE WHEN d.{tg.CASH} IS NOT NULL THEN concat_ws('+', '{tg.CASH}', CASE WHEN d.{tg.SHORT_TERM_INVESTMENTS} IS NOT NULL THEN '{tg.SHORT_TERM_INVESTMENTS}' END) END AS cash_tag,
+  d.total_debt, n.total_debt_tag, d.z_{tg.EQUITY} AS equity, CASE WHEN d.z_{tg.EQUITY} IS NOT NULL THEN '{tg.EQUITY}' END AS equity_tag, s.shares AS shares_outstanding, CASE WHEN s.shares IS NOT NULL THEN '{tg.COVER_SHARES}' END AS shares_outstanding_tag
+FROM o_probe p LEFT JOIN o_debt d ON d.cik = p.cik AND d.period_end = p.period_end LEFT JOIN o_debt_name n ON n.cik = p.cik AND n.period_end = p.period_end
+LEFT JOIN ({_GUARDED}) s ON s.cik = p.cik AND s.period_end = p.period_end"""
+ORACLE["o_line"] = "SELECT * FROM o_qline UNION ALL BY NAME SELECT * FROM o_aline"
+ORACLE["o_checked"] = f"""
+SELECT * REPLACE (CASE WHEN revenue >= 0 THEN revenue END AS revenue, CASE WHEN NOT coalesce(revenue >= 0 AND gross_profit > revenue, false) THEN gross_profit END AS gross_profit) FROM (
+  SELECT l.*, l.ocf - l.capex AS fcf, s.* EXCLUDE (cik, period_end) FROM o_line l LEFT JOIN o_stock s ON s.cik = l.cik AND s.period_end = l.period_end) x"""
+_back = lambda c: [c, *[f"lag({c}, {k}) OVER w" for k in (1, 2, 3)]]
+ORACLE["o_norm_ttm"] = f"""
+SELECT * REPLACE (CASE WHEN revenue >= 0 THEN revenue END AS revenue, CASE WHEN NOT coalesce(revenue >= 0 AND gross_profit > revenue, false) THEN gross_profit END AS gross_profit) FROM (
+  SELECT cik, period_end, 'TTM' AS period_type, {', '.join(f"{' + '.join(_back(f))} AS {f}" for f in FLOW_FIELDS)}, {' + '.join(_back('ocf'))} - ({' + '.join(_back('capex'))}) AS fcf, cash, total_debt, equity, shares_diluted, shares_outstanding,
+    {', '.join(f"coalesce({', '.join(_back(f'{f}_tag'))}) AS {f}_tag" for f in [*_LINES, *_STOCKS])},
+    'cumulative_diff@' || nullif(concat_ws(',', {', '.join(f"CASE WHEN {d} IS NOT NULL THEN ({e})::VARCHAR END" for d, e in zip(_back('derived_tag'), _back('period_end')))}), '') AS derived_tag,
+    date_diff('day', lag(period_end, 3) OVER w, period_end) AS days
+  FROM o_checked WHERE period_type = 'Q' WINDOW w AS (PARTITION BY cik ORDER BY period_end)) x WHERE days BETWEEN 240 AND 310"""
+_NAMES = [*PERIOD_FIELDS, *[f"{f}_tag" for f in [*_LINES, *_STOCKS]], "derived_tag"]
+ORACLE["o_norm"] = f"SELECT cik, period_end, period_type, {', '.join(_NAMES)} FROM o_checked UNION ALL SELECT cik, period_end, period_type, {', '.join(_NAMES)} FROM o_norm_ttm"
+
+
+@query("R14_normalized_periods", f"SELECT cik, period_end, period_type, {', '.join(_NAMES)} FROM o_norm")
 def r14(t):
-    periods, _ = norm.normalize(t.a_facts)
-    return periods.withColumn("source_tags", F.to_json("source_tags"))
+    periods = norm.normalize(t.a_facts).periods
+    tags = {f"{f}_tag": F.col("source_tags")[f] for f in [*_LINES, *_STOCKS, "derived"]}
+    return periods.withColumns(tags).select("cik", "period_end", "period_type", *_NAMES)

@@ -1,11 +1,14 @@
 """Parsers on texts that Spark derives from the tables, and universe decisions (S, F)."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from quarterdeck.config import UNIVERSE
 from quarterdeck.functions.scalars import finite, sufficient
 from quarterdeck.operators import changes, periods as period_ops, universe as uni
+from quarterdeck.operators.checkpoint import cut, new_path
 from quarterdeck.plans import snapshot as snap
 from quarterdeck.queries.adapter import AS_OF
 from quarterdeck.queries.common import DAY, ORACLE
@@ -66,6 +69,49 @@ def s4(t):
     return filings.extract_facts(filings.parse_num(num_raw(t)), filings.parse_sub(sub_raw(t)), changes.universe(t.a_company, t.a_ci)).drop("period_start", "source")
 
 
+# every quarter of the log as two files; one lost its value column, some lines have a cell too many, and one quarter was never published
+_LOST, _NEVER = "2000q3", "2003q1"
+_QUARTER = "concat('', year(filed_date), 'q', quarter(filed_date))"
+
+
+def _quarter_files(t) -> str:
+    root = new_path(t.spark, "bulk")
+    put = lambda df, path, **kw: df.write.mode("overwrite").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(path, **kw)
+    num = t.sql(f"""SELECT {_QUARTER} AS quarter, accession AS adsh, tag, replace(concat('', period_end), '-', '') AS ddate, concat('', qtrs) AS qtrs, unit AS uom,
+      CASE WHEN cik % 11 = 5 AND qtrs = 1 THEN 'Segment=A' WHEN cik % 13 = 4 AND tag = 'NetIncomeLoss' THEN concat('a', chr(9), 'b') END AS segments, CASE WHEN cik % 11 = 3 THEN 'SUBSIDIARY' END AS coreg, concat('', value) AS value FROM a_fact1""")
+    num = cut(num)
+    sub = t.sql(f"SELECT DISTINCT {_QUARTER} AS quarter, accession AS adsh, concat('', cik) AS cik, form, replace(concat('', filed_date), '-', '') AS filed FROM a_fact1")
+    num.write.partitionBy("quarter").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(f"{root}/num.txt")
+    sub.write.partitionBy("quarter").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(f"{root}/sub.txt")
+    put(num.where(F.col("quarter") == _LOST).drop("quarter", "value"), f"{root}/num.txt/quarter={_LOST}")
+    return root
+
+
+def bulk(t):
+    quarters = [d for y in range(1995, 2004) for d in (date(y, 1, 1), date(y, 4, 1), date(y, 7, 1), date(y, 10, 1))]
+    held = {r[0] for r in t.sql(f"SELECT DISTINCT {_QUARTER} AS quarter FROM a_fact1").collect()} | {_NEVER}
+    return filings.load_bulk(t.spark, _quarter_files(t), [q for q in quarters if filings.quarter_label(q) in held], changes.universe(t.a_company, t.a_ci), "{root}/{file}/quarter={quarter}")
+
+
+_MEMBER_FACTS = f"""SELECT {_QUARTER} AS quarter, cik, tag, unit, period_end, qtrs, value, form, filed_date, accession FROM a_fact1
+WHERE cik % 11 <> 3 AND NOT (cik % 11 = 5 AND qtrs = 1) AND NOT (cik % 13 = 4 AND tag = 'NetIncomeLoss') AND cik IN ({_MEMBERS}) AND tag IN ({', '.join(repr(x) for x in TRACKED_TAGS)})"""
+
+
+@query("S15_bulk_quarters", f"SELECT * EXCLUDE (quarter) FROM ({_MEMBER_FACTS}) x WHERE quarter <> '{_LOST}'")
+def s15(t):
+    return bulk(t)[0].drop("period_start", "source")
+
+
+@query("S15_quarter_report", f"""
+SELECT q.quarter, CASE WHEN q.quarter = '{_LOST}' THEN 'failed' ELSE 'loaded' END AS status, CASE WHEN q.quarter <> '{_LOST}' THEN q.lines END AS lines, CASE WHEN q.quarter <> '{_LOST}' THEN q.broken END AS broken_lines,
+  CASE WHEN q.quarter <> '{_LOST}' THEN coalesce(m.facts, 0) END AS facts
+FROM (SELECT {_QUARTER} AS quarter, count(*) AS lines, count(*) FILTER (cik % 13 = 4 AND tag = 'NetIncomeLoss' AND NOT (cik % 11 = 5 AND qtrs = 1)) AS broken FROM a_fact1 GROUP BY 1) q
+LEFT JOIN (SELECT quarter, count(*) AS facts FROM ({_MEMBER_FACTS}) x GROUP BY 1) m ON m.quarter = q.quarter
+UNION ALL SELECT '{_NEVER}', 'failed', NULL, NULL, NULL""")
+def s15_report(t):
+    return bulk(t)[1].drop("error")
+
+
 _QTRS = """CASE WHEN period_start IS NULL OR period_end <= period_start THEN 0 ELSE greatest(1, CAST(round(date_diff('day', period_start, period_end) / 91.31::DOUBLE) AS INT)) END"""
 
 

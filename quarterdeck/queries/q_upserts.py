@@ -34,25 +34,24 @@ def _stored(t):
 
 
 def _batch(t):
-    return t.a_company.where("cik % 2 = 0").drop("is_active", "first_seen", "last_updated")
+    return t.a_company.where("cik % 2 = 0 OR cik % 3 = 1").drop("is_active", "first_seen", "last_updated")
 
 
 @query("K2_company_upsert", """
 SELECT coalesce(b.cik, s.cik) AS cik, CASE WHEN b.cik IS NOT NULL THEN b.name ELSE lower(s.name) END AS name, b.cik IS NOT NULL OR s.is_active AS is_active,
        coalesce(s.first_seen, DATE '2001-11-15') AS first_seen, CASE WHEN b.cik IS NOT NULL THEN DATE '2001-11-15' ELSE s.last_updated END AS last_updated
-FROM (SELECT * FROM a_company WHERE cik % 3 <> 1) s FULL JOIN (SELECT * FROM a_company WHERE cik % 2 = 0) b ON b.cik = s.cik""")
+FROM (SELECT * FROM a_company WHERE cik % 3 <> 1) s FULL JOIN (SELECT * FROM a_company WHERE cik % 2 = 0 OR cik % 3 = 1) b ON b.cik = s.cik""")
 def k2(t):
     out = upsert.upsert_companies(_stored(t), _batch(t), F.lit(AS_OF).cast("date"))
     return out.select("cik", "name", "is_active", "first_seen", "last_updated")
 
 
 @query("K3_listing_upsert", """
-SELECT ticker, exchange, security_name FROM a_listing WHERE p_partkey % 3 = 0 UNION ALL
-SELECT ticker, 'OLD', security_name FROM a_listing WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0""")
+SELECT ticker, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 'OLD' ELSE exchange END AS exchange, security_name FROM a_listing""")
 def k3(t):
     cols = ["ticker", "exchange", "security_name"]
     stored = t.a_listing.where("p_partkey % 2 = 0").withColumn("exchange", F.lit("OLD")).select(*cols)
-    return upsert.upsert_by_key(stored, t.a_listing.where("p_partkey % 3 = 0").select(*cols), ["ticker"])
+    return upsert.upsert_by_key(stored, t.a_listing.where("p_partkey % 3 = 0 OR p_partkey % 2 = 1").select(*cols), ["ticker"])
 
 
 @query("K4_replace_classification", """
@@ -159,11 +158,23 @@ def k11(t):
 
 
 @query("K12_run_stats", """
-SELECT 'fundamentals' AS job, 'succeeded' AS status, count(*) AS facts, count(DISTINCT cik) AS companies, count(*) FILTER (source = 'api') AS api_facts FROM a_facts""")
+SELECT 'fundamentals' AS job, 'succeeded' AS status, true AS ordered, NULL AS error, count(*) AS facts, count(DISTINCT cik) AS companies, count(*) FILTER (source = 'api') AS api_facts FROM a_facts
+UNION ALL SELECT 'scores', 'failed', true, 'ValueError: stopped on purpose', NULL, count(*), NULL FROM a_company""")
 def k12(t):
-    from quarterdeck.plans.writes import run_stats
-    return run_stats("fundamentals", t.a_facts.agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("cik").alias("companies"),
-                                                   F.count_if(F.col("source") == "api").alias("api_facts"))).select("job", "status", "facts", "companies", "api_facts")
+    from quarterdeck.operators.checkpoint import new_path
+    from quarterdeck.plans.writes import recorded, runs
+    log = new_path(t.spark, "runs")
+    with recorded(t.spark, "fundamentals", log) as run:
+        facts = run.staged(t.a_facts.select("cik", "source"), facts=F.count(F.lit(1)), api_facts=F.count_if(F.col("source") == "api"))
+        run.stats["companies"] = facts.select("cik").distinct().count()
+    try:
+        with recorded(t.spark, "scores", log) as run:
+            run.stats["companies"] = t.a_company.count()
+            raise ValueError("stopped on purpose")
+    except ValueError:
+        pass
+    number = lambda k: F.col("stats")[k].cast("long").alias(k)
+    return runs(t.spark.read.parquet(log)).select("job", "status", (F.col("started_at") <= F.col("finished_at")).alias("ordered"), "error", number("facts"), number("companies"), number("api_facts"))
 
 
 CUT = f"({DAY} - {INGEST['stale_days']})"
@@ -224,10 +235,31 @@ def k18(t):
     return changes.fingerprint_of(t.a_facts)
 
 
-@query("K20_failure_gate", "SELECT count(*) AS companies, count(*) FILTER (revenue IS NULL) AS failed, count(*) FILTER (revenue IS NULL)::DOUBLE / count(*) > 0.5 AND count(*) >= 20 AS stop FROM (SELECT cik, max(gross_profit) AS revenue FROM a_q GROUP BY cik) x")
+# facts of some companies lose their value, others have no tracked fact left
+_HURT = """SELECT *, CASE WHEN cik % 7 = 3 THEN 'Untracked' ELSE tag END AS given_tag, CASE WHEN cik % 9 = 4 AND tag = 'Revenues' AND quarter(period_end) = 2 THEN CAST('NaN' AS DOUBLE) ELSE value END AS given FROM a_facts"""
+ORACLE["o_outcome"] = """
+SELECT m.cik, CASE WHEN m.cik % 7 <> 3 AND m.cik % 9 = 4 AND h.cik IS NOT NULL THEN 'failed' WHEN n.rows > 0 AND m.cik % 7 <> 3 THEN 'periods' ELSE 'no_data' END AS status,
+  CASE WHEN m.cik % 7 <> 3 AND m.cik % 9 = 4 AND h.cik IS NOT NULL THEN 'fact without a finite value of Revenues' END AS reason,
+  CASE WHEN m.cik % 7 = 3 OR (m.cik % 9 = 4 AND h.cik IS NOT NULL) THEN 0 ELSE coalesce(n.rows, 0) END AS rows
+FROM o_member m LEFT JOIN (SELECT DISTINCT cik FROM a_facts WHERE tag = 'Revenues' AND quarter(period_end) = 2) h ON h.cik = m.cik
+LEFT JOIN (SELECT cik, count(*) AS rows FROM o_norm WHERE period_type <> 'TTM' GROUP BY cik) n ON n.cik = m.cik"""
+
+
+def outcomes(t):
+    from quarterdeck.plans import normalize as norm
+    log = t.sql(_HURT).withColumns({"value": F.col("given"), "tag": F.col("given_tag")}).drop("given", "given_tag")
+    return norm.outcomes(members(t), norm.normalize(log))
+
+
+@query("K20_outcomes", "SELECT cik, status, reason, rows FROM o_outcome")
+def k20_outcomes(t):
+    return outcomes(t).select("cik", "status", "reason", "rows")
+
+
+@query("K20_failure_gate", "SELECT count(*) AS companies, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed')::DOUBLE / count(*) > 0.5 AND count(*) >= 20 AS stop FROM o_outcome")
 def k20(t):
     from quarterdeck.plans.normalize import failure_gate
-    outcomes = t.a_q.groupBy("cik").agg(F.max("gross_profit").isNull().alias("failed"))
-    return failure_gate(outcomes)
+    return failure_gate(outcomes(t))
+
 
 

@@ -21,5 +21,5 @@ LISTING = _struct(ticker=_S, exchange=_S, security_name=_S, is_etf=_B, is_test_i
                   round_lot=_D)
 MARKET = _struct(cik=_L, date=T.DateType(), price=_D, shares_outstanding=_D, market_cap=_D, volume=_D,
                  shares_basis=_S, load_seq=_L)
-JOB_RUN = _struct(job=_S, started_at=T.TimestampType(), finished_at=T.TimestampType(), status=_S,
+JOB_RUN = _struct(run_id=_S, job=_S, started_at=T.TimestampType(), finished_at=T.TimestampType(), status=_S,
                   stats=T.MapType(_S, _S), error=_S)

@@ -1,8 +1,9 @@
 """Quarterly filing extracts: headers (sub.txt) and numbers (num.txt), tab separated."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from quarterdeck import schemas
 from quarterdeck.config import INGEST, RECONCILE
 from quarterdeck.functions.scalars import col, finite
 from quarterdeck.tags import TRACKED_TAGS
@@ -56,16 +57,27 @@ def extract_facts(num: DataFrame, sub: DataFrame, universe: DataFrame) -> DataFr
                     F.lit("bulk").alias("source")))
 
 
-def _read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def read_tsv(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """All-text rows with the wanted columns, the file they come from, and whether the line has another number of cells than the header."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    names = require_columns(spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False), path, wanted).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]])
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False)
+    return rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_corrupt_record").isNotNull().alias("_broken"))
 
 
 def read_sub(spark: SparkSession, path: str) -> DataFrame:
-    return parse_sub(_read_tsv(spark, path))
+    return parse_sub(read_tsv(spark, path, SUB_COLUMNS).where("NOT _broken"))
 
 
 def read_num(spark: SparkSession, path: str) -> DataFrame:
-    return parse_num(_read_tsv(spark, path))
+    return parse_num(read_tsv(spark, path, NUM_COLUMNS).where("NOT _broken"))
 
 
 def derive_qtrs(start, end) -> Column:
@@ -83,15 +95,32 @@ def recent_quarters(as_of, n: int = INGEST["bulk_quarters"]) -> Column:
     return F.sequence(newest, F.add_months(newest, F.lit(-3 * (n - 1))), F.expr("INTERVAL -3 MONTH"))
 
 
-def load_bulk(spark: SparkSession, root: str, quarters: list, universe: DataFrame):
-    """Facts of the quarter folders that can be read, and one message per quarter that cannot."""
-    loaded, errors = None, []
-    for q in quarters:
-        label = f"{q.year}q{(q.month + 2) // 3}"
+REPORT = "quarter string, status string, lines long, broken_lines long, facts long, error string"
+
+
+def quarter_label(q) -> str:
+    return f"{q.year}q{(q.month + 2) // 3}"
+
+
+def load_bulk(spark: SparkSession, root: str, quarters: list, universe: DataFrame, layout: str = "{root}/{quarter}/{file}") -> tuple[DataFrame, DataFrame]:
+    """(facts of the quarter folders that can be read, report). The report has a row per quarter asked for: loaded with its numbers of lines,
+    lines left out for their number of cells, and facts; or failed with the error. A quarter fails if a file of it is missing, lacks a column, has no
+    usable line or can't be read to its end; each is read through once as a check, so damage shows here and not in a later action."""
+    loaded, report = None, []
+    for label in map(quarter_label, quarters):
+        num_path, sub_path = [layout.format(root=root, quarter=label, file=f) for f in ("num.txt", "sub.txt")]
         try:
-            facts = extract_facts(read_num(spark, f"{root}/{label}/num.txt"), read_sub(spark, f"{root}/{label}/sub.txt"), universe)
-        except Exception as e:
-            errors.append(f"{label}: {type(e).__name__}: {str(e).splitlines()[0]}")
+            num = read_tsv(spark, num_path, NUM_COLUMNS)
+            facts = extract_facts(parse_num(num.where("NOT _broken")), read_sub(spark, sub_path), universe)
+            lines = num.groupBy("_file").agg(F.count(F.lit(1)).alias("lines"), F.count_if("_broken").alias("broken")).agg(
+                F.sum("lines").alias("lines"), F.sum("broken").alias("broken"), F.max_by("_file", "broken").alias("worst")).first()
+            if (lines["lines"] or 0) == (lines["broken"] or 0):
+                raise ValueError(f"no usable line in {lines['worst'] or label}")
+            report.append((label, "loaded", lines["lines"], lines["broken"], facts.count(), None))
+        except Exception as e:  # any error of one quarter is that quarter's outcome
+            report.append((label, "failed", None, None, None, f"{type(e).__name__}: {next(iter(str(e).splitlines()), '')}"[:500]))
             continue
         loaded = facts if loaded is None else loaded.unionByName(facts)
-    return loaded, errors
+    if loaded is None:
+        loaded = spark.createDataFrame([], T.StructType([f for f in schemas.FACT if f.name != "load_seq"]))
+    return loaded, spark.createDataFrame(report, REPORT)

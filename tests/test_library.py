@@ -54,17 +54,35 @@ def test_exact_statistics_of_a_hot_group(spark):
     assert got[("b", 0.0)] == 0 and got[("b", 9.0)] == 1 and got[("zzz", 1.0)] is None
 
 
-def test_filing_files_and_missing_quarter(spark, tmp_path):
-    q = tmp_path / "2001q1"
-    q.mkdir()
-    (q / "sub.txt").write_text("adsh\tcik\tname\tform\tfiled\nA1\t1\tX\t10-K\t20010301\nA2\tx\tX\t10-K\t20010301\nA3\t9\tX\t10-K\t20010301\n")
-    (q / "num.txt").write_text("adsh\ttag\tddate\tqtrs\tuom\tsegments\tcoreg\tvalue\nA1\tRevenues\t20001231\t4\tUSD\t\t\t5\nA1\tRevenues\t20001231\t4\tUSD\tSeg=A\t\t3\n"
-                               "A1\tRevenues\t20001231\t4\tEUR\t\t\t5\nA1\tUnknown\t20001231\t4\tUSD\t\t\t5\nA3\tRevenues\t20001231\t4\tUSD\t\t\t5\nA1\tRevenues\t20001231\t\tUSD\t\t\t5\n")
-    universe = spark.createDataFrame([(1,)], "cik long")
-    facts, errors = filings.load_bulk(spark, str(tmp_path), [D("2001-01-01"), D("2000-10-01")], universe)
+def quarter_files(folder, num, sub="A1\t1\tX\t10-K\t20010301\nA2\tx\tX\t10-K\t20010301\nA3\t9\tX\t10-K\t20010301\n", header="adsh\ttag\tddate\tqtrs\tuom\tsegments\tcoreg\tvalue\n"):
+    folder.mkdir()
+    (folder / "sub.txt").write_text("adsh\tcik\tname\tform\tfiled\n" + sub)
+    (folder / "num.txt").write_text(header + num)
+
+
+def test_filing_files_and_damaged_quarters(spark, tmp_path):
+    fact = "A1\tRevenues\t20001231\t4\tUSD\t\t\t5\n"
+    quarter_files(tmp_path / "2001q1", fact + "A1\tRevenues\t20001231\t4\tUSD\tSeg=A\t\t3\nA1\tRevenues\t20001231\t4\tEUR\t\t\t5\nA1\tUnknown\t20001231\t4\tUSD\t\t\t5\n"
+                  "A3\tRevenues\t20001231\t4\tUSD\t\t\t5\nA1\tRevenues\t20001231\t\tUSD\t\t\t5\nA1\tNetIncomeLoss\t20001231\nA1\tNetIncomeLoss\t20001231\t4\tUSD\t\t\t5\textra\n")
+    quarter_files(tmp_path / "2001q2", fact.replace("\t5\n", "\n"), header="adsh\ttag\tddate\tqtrs\tuom\tsegments\tcoreg\n")
+    quarter_files(tmp_path / "2001q3", "A1\tRevenues\n")
+    quarter_files(tmp_path / "2001q4", "")
+    quarter_files(tmp_path / "2002q1", "")
+    (tmp_path / "2002q1" / "num.txt").unlink()
+    import gzip
+    packed = gzip.compress((("adsh\ttag\tddate\tqtrs\tuom\tsegments\tcoreg\tvalue\n") + fact * 5000).encode())
+    (tmp_path / "2002q1" / "num.txt").mkdir()
+    (tmp_path / "2002q1" / "num.txt" / "part.gz").write_bytes(packed[: len(packed) // 2])  # cut off in transit
+    quarters = [D(x) for x in ("2001-01-01", "2000-10-01", "2001-04-01", "2001-07-01", "2001-10-01", "2002-01-01")]
+    facts, report = filings.load_bulk(spark, str(tmp_path), quarters, spark.createDataFrame([(1,)], "cik long"))
     rows = facts.collect()
     assert len(rows) == 1 and rows[0].cik == 1 and rows[0].period_end == D("2000-12-31") and rows[0].source == "bulk"
-    assert len(errors) == 1 and errors[0].startswith("2000q4")
+    got = {r.quarter: r for r in report.collect()}
+    assert (got["2001q1"].status, got["2001q1"].lines, got["2001q1"].broken_lines, got["2001q1"].facts) == ("loaded", 8, 2, 1)
+    assert {q for q, r in got.items() if r.status == "failed"} == {"2000q4", "2001q2", "2001q3", "2001q4", "2002q1"}
+    assert "FileNotFoundError" in got["2000q4"].error and "value" in got["2001q2"].error and "no usable line" in got["2001q3"].error
+    none, report = filings.load_bulk(spark, str(tmp_path), quarters[1:2], spark.createDataFrame([(1,)], "cik long"))
+    assert none.count() == 0 and report.count() == 1 and none.columns == facts.columns
     with pytest.raises(ValueError, match="value"):
         filings.require_columns(spark.createDataFrame([("a",)], "adsh string"), "num.txt", ["adsh", "value"])
 

@@ -247,9 +247,9 @@ def test_normalize_a_company_end_to_end(spark):
         for k, end in enumerate(("03-31", "06-30", "09-30", "12-31"), 1):
             rows.append(fact(1, "Revenues", f"{y}-{end}", 100 * k, k, f"{y}-01-01", form="10-K" if k == 4 else "10-Q", accession=f"{y}{k}"))
             rows.append(fact(1, t.CASH, f"{y}-{end}", 5, accession=f"{y}{k}"))
-    periods, rejected = normalize(facts(spark, rows))
+    periods, rejected, failures = normalize(facts(spark, rows))
     got = periods.where("period_type = 'Q'").orderBy("period_end").collect()
-    assert [r.revenue for r in got] == [100.0] * 8 and rejected.count() == 0
+    assert [r.revenue for r in got] == [100.0] * 8 and rejected.count() == failures.count() == 0
     assert got[3].source_tags["revenue"] == "cumulative_diff" and got[0].source_tags["revenue"] == "Revenues"
     ttm = periods.where("period_type = 'TTM'").orderBy("period_end").collect()
     assert len(ttm) == 5 and ttm[0].revenue == 400 and ttm[0].cash == 5 and ttm[0].source_tags["derived"].startswith("cumulative_diff@")
