@@ -22,7 +22,7 @@ def ingest_fundamentals(spark: SparkSession, bulk_root: str, quarters: list, uni
     """
     with writes.recorded(spark, "fundamentals", f"{out}/runs") as run:
         bulk, report = load_bulk(spark, bulk_root, quarters, universe)
-        read = report.agg(F.count(F.lit(1)).alias("asked"), F.count_if("status = 'loaded'").alias("loaded"), F.sum("facts").alias("facts")).first()
+        read = report.agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("status") == "loaded").alias("loaded"), F.sum("facts").alias("facts")).first()
         run.stats.update(quarters_asked=read["asked"], quarters_loaded=read["loaded"], bulk_facts=read["facts"] or 0,
                          quarter_errors=_sample(report.where("status = 'failed'"), F.concat_ws(": ", "quarter", "error")))
         batch = bulk.unionByName(api.drop("load_seq")).withColumn("load_seq", F.lit(0).cast("long"))

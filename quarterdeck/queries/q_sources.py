@@ -74,16 +74,22 @@ _LOST, _NEVER = "2000q3", "2003q1"
 _QUARTER = "concat('', year(filed_date), 'q', quarter(filed_date))"
 
 
+def _lines(df, cells):
+    """Rows as whole lines under a header line, so that a cell may hold the separator."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in cells])
+    return df.select("quarter", line.alias("\t".join(cells)))
+
+
 def _quarter_files(t) -> str:
     root = new_path(t.spark, "bulk")
-    put = lambda df, path, **kw: df.write.mode("overwrite").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(path, **kw)
-    num = t.sql(f"""SELECT {_QUARTER} AS quarter, accession AS adsh, tag, replace(concat('', period_end), '-', '') AS ddate, concat('', qtrs) AS qtrs, unit AS uom,
-      CASE WHEN cik % 11 = 5 AND qtrs = 1 THEN 'Segment=A' WHEN cik % 13 = 4 AND tag = 'NetIncomeLoss' THEN concat('a', chr(9), 'b') END AS segments, CASE WHEN cik % 11 = 3 THEN 'SUBSIDIARY' END AS coreg, concat('', value) AS value FROM a_fact1""")
-    num = cut(num)
+    lines = {"header": True, "sep": "\u0001", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    num = cut(t.sql(f"""SELECT {_QUARTER} AS quarter, accession AS adsh, tag, replace(concat('', period_end), '-', '') AS ddate, concat('', qtrs) AS qtrs, unit AS uom,
+      CASE WHEN cik % 11 = 5 AND qtrs = 1 THEN 'Segment=A' WHEN cik % 13 = 4 AND tag = 'NetIncomeLoss' THEN concat('a', chr(9), 'b') END AS segments, CASE WHEN cik % 11 = 3 THEN 'SUBSIDIARY' END AS coreg, concat('', value) AS value FROM a_fact1"""))
     sub = t.sql(f"SELECT DISTINCT {_QUARTER} AS quarter, accession AS adsh, concat('', cik) AS cik, form, replace(concat('', filed_date), '-', '') AS filed FROM a_fact1")
-    num.write.partitionBy("quarter").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(f"{root}/num.txt")
-    sub.write.partitionBy("quarter").options(header=True, sep="\t", quote="", emptyValue="", nullValue="").csv(f"{root}/sub.txt")
-    put(num.where(F.col("quarter") == _LOST).drop("quarter", "value"), f"{root}/num.txt/quarter={_LOST}")
+    _lines(num, filings.NUM_COLUMNS).write.partitionBy("quarter").options(**lines).csv(f"{root}/num.txt")
+    _lines(sub, filings.SUB_COLUMNS).write.partitionBy("quarter").options(**lines).csv(f"{root}/sub.txt")
+    lost = _lines(num.where(F.col("quarter") == _LOST), [c for c in filings.NUM_COLUMNS if c != "value"])
+    lost.drop("quarter").write.mode("overwrite").options(**lines).csv(f"{root}/num.txt/quarter={_LOST}")
     return root
 
 

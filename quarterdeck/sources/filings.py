@@ -68,7 +68,7 @@ def read_tsv(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
         raise FileNotFoundError(path)
     names = require_columns(spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False), path, wanted).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]])
-    rows = spark.read.csv(path, sep="\t", header=True, quote="", schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False)
+    rows = spark.read.option("columnPruning", False).csv(path, sep="\t", header=True, quote="", schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False)
     return rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_corrupt_record").isNotNull().alias("_broken"))
 
 
@@ -112,9 +112,9 @@ def load_bulk(spark: SparkSession, root: str, quarters: list, universe: DataFram
         try:
             num = read_tsv(spark, num_path, NUM_COLUMNS)
             facts = extract_facts(parse_num(num.where("NOT _broken")), read_sub(spark, sub_path), universe)
-            lines = num.groupBy("_file").agg(F.count(F.lit(1)).alias("lines"), F.count_if("_broken").alias("broken")).agg(
-                F.sum("lines").alias("lines"), F.sum("broken").alias("broken"), F.max_by("_file", "broken").alias("worst")).first()
-            if (lines["lines"] or 0) == (lines["broken"] or 0):
+            lines = num.groupBy("_file").agg(F.count(F.lit(1)).alias("lines"), F.count_if("_broken").alias("broken"), F.count_if(~F.col("_broken") & (F.col("adsh") != "")).alias("usable")).agg(
+                *[F.sum(c).alias(c) for c in ("lines", "broken", "usable")], F.max_by("_file", "broken").alias("worst")).first()
+            if not lines["usable"]:
                 raise ValueError(f"no usable line in {lines['worst'] or label}")
             report.append((label, "loaded", lines["lines"], lines["broken"], facts.count(), None))
         except Exception as e:  # any error of one quarter is that quarter's outcome
