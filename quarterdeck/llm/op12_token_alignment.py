@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +57,7 @@ class ByteLevel:
         self.lengths = np.array([len(x) for x in self.bytes], np.int32)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of a blank and each text; byte-level tokens always give it back, as every byte has one and nothing is normalised."""
         return self.cache.texts([b" " + t for t in texts])
 
 
@@ -71,15 +73,17 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.lengths = np.array([len(x) for x in self.bytes], np.int32)
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.blank = np.array([self.model.piece_to_id("▁")], "<u4").tobytes()
+        self.blank = [self.model.piece_to_id("▁")]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
+    def whole(self, text: str) -> bytes | None:
+        ids = self.model.encode(text)
+        return array("I", ids).tobytes() if "".join([" ", text]).encode() == b"".join([self.bytes[k] for k in ids]) else None
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: list[bytes]) -> list[bytes | None]:
+        """Little-endian unsigned 32-bit ids of each text; None for one that they don't give back."""
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
+        known, shown = self.known, self.bytes
         split = []
         for text in (t.decode("utf-8", "replace") for t in texts):
             if not self.apart or "▁" in text:
@@ -89,8 +93,15 @@ class Pieces:
             split.append(words if all(words) else [p[1:] for p in _PARTS.findall(" " + text)])
         new = list({w for words in split if words is not None for w in words if w not in known})
         for word, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            known[word] = np.array(ids, "<u4").tobytes() if word else self.blank
-        out = [b"".join(map(known.__getitem__, words)) if words is not None else self.whole(t.decode("utf-8", "replace")) for words, t in zip(split, texts, strict=True)]
+            if not word:
+                ids = self.blank
+            known[word] = array("I", ids).tobytes() if b"".join([shown[k] for k in ids]) == b" " + word.encode() else None
+        out = []
+        for words, text in zip(split, texts, strict=True):
+            try:
+                out.append(b"".join(map(known.__getitem__, words)) if words is not None else self.whole(text.decode("utf-8", "replace")))
+            except TypeError:  # a word that isn't given back
+                out.append(self.whole(text.decode("utf-8", "replace")))
         for word in new:
             if len(word) > 32:
                 del known[word]
@@ -118,13 +129,14 @@ def product(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     Gives (row, column, sum) of the entries, by row and column."""
     (indptr, indices), (r_indptr, r_indices) = left, right
     row = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
-    sizes = np.diff(r_indptr)[indices]
-    if len(sizes) and (sizes.min() != 1 or sizes.max() != 1):
+    each = np.diff(r_indptr)
+    if not np.all(each == 1):
+        sizes = each[indices]
         row = np.repeat(row, sizes)
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         column = r_indices[np.repeat(r_indptr[:-1][indices], sizes) + inside]
     else:
-        column = r_indices[r_indptr[:-1][indices]]
+        column = r_indices[indices]
     change = (row[1:] != row[:-1]) | (column[1:] != column[:-1])
     if np.any((row[1:] == row[:-1]) & (column[1:] < column[:-1])):
         order = np.lexsort((column, row))
@@ -192,10 +204,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", links:
             given = [texts[k] for k in full]
             made = []
             for k, t, a_ids, b_ids in zip(full, given, a_model.ids(given), b_model.ids(given), strict=True):
-                a, b = np.frombuffer(a_ids, "<u4").astype(np.int64), np.frombuffer(b_ids, "<u4").astype(np.int64)
-                whole = b" " + t
-                if b"".join(map(a_model.bytes.__getitem__, a.tolist())) == whole and b"".join(map(b_model.bytes.__getitem__, b.tolist())) == whole:
-                    made.append((k, a, b))
+                if b_ids is not None:
+                    a, b = np.frombuffer(a_ids, "<u4").astype(np.int64), np.frombuffer(b_ids, "<u4").astype(np.int64)
+                    if int(a_model.lengths[a].sum()) == int(b_model.lengths[b].sum()) == len(t) + 1:
+                        made.append((k, a, b))
             if not made:
                 return [list(c) for c in zip(*out, strict=True)]
             joined = Alignment(np.concatenate([a for _, a, _ in made]), np.concatenate([b for _, _, b in made]), a_model.lengths, b_model.lengths)

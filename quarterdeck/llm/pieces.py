@@ -80,7 +80,7 @@ class PieceCache:
         for value in values:
             first, *rest = (value.decode("utf-8", "replace") if value else "").split(" ")
             try:
-                if rest and (not first or first[-1].isspace()):
+                if rest and first and first[-1].isspace():
                     raise TypeError
                 out.append(self.piece(first, "") + b"".join(map(known.__getitem__, rest)))
             except TypeError:  # a piece without ids of its own
