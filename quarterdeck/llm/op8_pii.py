@@ -1,23 +1,26 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base spans come from patterns for e-mail, IP, card and phone, each checked (parts, Luhn, digits). Then contexts are learned. Candidates are tokens
-with six digits or an @. Those where a base span starts are seeds of weight 1; codes, in which 16 or more letters and digits mix, start at a half; the
-others start at 0. Every candidate has patterns of five forms on three sides:
+with six digits or an @. Those where a base span starts are the seeds, of weight 1; the others start at 0. Every candidate has patterns of six
+forms on three sides:
 
 left   `pair`, the two words before it; `word`, the word before it; `mark`, that word with the marks behind it (`token = "`)
 right  `next`, the word after it
-shape  `shape`, its letters and digits by class and length
+shape  `shape`, its letters and digits by class and length; `class`, the same without lengths: whether it has letters and digits, and is long
 
 An earlier token with a digit or an @ counts as the word `#`, the start of the text as `^`, its end as `$`; neither long words nor white space
 shorten a context. Patterns and candidates make a bipartite graph. In each round a pattern's score is the sum of its instances' weights over
 its frequency in the whole corpus plus two, so a word that mostly stands before other things counts for nothing however large the corpus is; a
 pattern of which candidates make up less than a fifth is dropped. With w the first weight and the best score on each side, an instance passes
-1 - (1 - w)(1 - left)(1 - right)(1 - shape) to its patterns, but to those of a side without that side's own score: so confident instances raise
-the other patterns that they have, and none raises itself. After the rounds, occurrences with 1 - (1 - left)(1 - right)(1 - shape) of at least
-the score become spans of kind `context`.
+1 - (1 - w)(1 - left)(1 - right)(1 - shape) to its patterns, but to those of a side without that side's own score: so seeds raise the general
+shapes they have, these raise the words that stand before other tokens of such shapes, and none raises itself. After the rounds, occurrences with
+1 - (1 - left)(1 - right)(1 - shape) of at least the score, half of which must come from left and right, become spans of kind `context`. No
+pattern is given: what is found depends on the seeds and on the corpus alone.
 
 Everything is DataFrame functions: positions come from the lengths of the parts between matches, graph rounds are aggregations over edges,
-which are few, and patterns are joined with occurrences, never collected. The text is read a second time to count the patterns.
+which are few, and patterns are joined with occurrences, never collected. A token or a pattern may be on most of the edges, so these joins are dealt in
+`PARTS` parts each. The text is read twice, once for spans and candidates, once to count the patterns' words; counting compares 64-bit hashes of
+words, which enter scores only.
 
 Patterns are written so that no text makes them backtrack: runs are possessive, and a match starts where a run does or the last match ended.
 
@@ -29,10 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import discard, staged
 from .textstats import SPACE
 
 KINDS = ["email", "ip", "card", "phone"]
+PARTS = 16
+HELD = 1_000_000  # that many hashes of wanted patterns are broadcast; more are joined after counting
 # The base patterns, without backtracking.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -107,16 +112,17 @@ def ends(gap: Column, token: Column) -> Column:
 
 
 def shape(token: Column) -> Column:
-    """Letters and digits of a token by class and length; a code counts as one class."""
+    """Letters and digits of a token by class and length."""
     core = F.regexp_replace(token, r"[^A-Za-z0-9@.:-]+", "")
     runs = F.transform(F.regexp_extract_all(core, F.lit(r"[A-Za-z]++|[0-9]++|[@.:-]++"), F.lit(0)), lambda r: F.when(r.rlike(r"\A[0-9]"), F.concat(F.lit("9x"), F.length(r).cast("string")))
                        .when(r.rlike(r"\A[A-Za-z]"), F.concat(F.lit("ax"), F.length(r).cast("string"))).otherwise(r))
-    return F.when(code(token), F.concat(F.lit("code"), F.length(core).cast("string"))).otherwise(F.array_join(runs, ""))
+    return F.array_join(runs, "")
 
 
-def code(token: Column) -> Column:
-    """Whether a token is one run of 16 or more letters and digits, with both in it, between marks."""
-    return token.rlike(r"\A[^A-Za-z0-9]*+[A-Za-z0-9]{16,}+[^A-Za-z0-9]*+\z") & token.rlike("[A-Za-z]")
+def general(token: Column) -> Column:
+    """The most general shape: letters and digits or digits alone, of 16 characters or fewer."""
+    core = F.length(F.regexp_replace(token, r"[^A-Za-z0-9@.:-]+", ""))
+    return F.concat_ws(" ", F.when(token.rlike(r"\p{L}"), "a9").otherwise("9"), F.when(core >= 16, "long").otherwise("short"))
 
 
 _OCCURRENCES = "array<struct<start:bigint,end:bigint,token:string,left:string,seed:boolean,word:string,mark:string,next:string>>"
@@ -147,30 +153,43 @@ def occurrences(cells: Column, starts: Column, base: Column) -> Column:
     return F.when(F.size(cells) > 1, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
-SIDES = {"pair": "left", "word": "left", "mark": "left", "next": "right", "shape": "shape"}
+SIDES = {"pair": "left", "word": "left", "mark": "left", "next": "right", "shape": "shape", "class": "shape"}
 
 
 def keyed(found: DataFrame) -> DataFrame:
     """Occurrences with one row per pattern: form and key. A bare `#`, `^` or `$` is no pattern."""
-    made = {"pair": F.col("left"), "word": F.col("word"), "mark": F.col("mark"), "next": F.col("next"), "shape": shape(F.col("token"))}
+    made = {"pair": F.col("left"), "word": F.col("word"), "mark": F.col("mark"), "next": F.col("next"), "shape": shape(F.col("token")), "class": general(F.col("token"))}
     forms = F.array(*[F.struct(F.lit(form).alias("form"), key.alias("key")) for form, key in made.items()])
     return found.withColumn("p", F.explode(forms)).select("*", "p.form", "p.key").drop("p").filter(F.col("key").isNotNull() & ~F.col("key").isin("#", "^", "$", "^ ^", "# #", "^ #"))
 
 
+def hashed(form: str, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(form), *parts)
+
+
+def counted(form: Column, key: Column) -> Column:
+    """The hash under which a pattern's occurrences are counted; words before and after a token are counted alike."""
+    pair = F.split(key, " ")
+    return F.when(form == "pair", hashed("pair", F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))).when(form == "mark", hashed("mark", key)).otherwise(hashed("word", key))
+
+
 def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(form, key, total): how often the wanted patterns (form, key) but shapes occur in the column __text, before or after anything."""
-    stream = F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(F.flatten(F.transform(cut(F.col("__text"), _TOKEN), lambda x: F.concat(words(x["gap"]), F.array(F.when(x["match"].isNotNull(), F.lit("#")))))), lambda w: w.isNotNull()))
-    rows = texts.select(stream.alias("w"), marks(F.col("__text")).alias("m"))
-    following = F.slice(F.col("w"), 2, F.size("w"))
-    kinds = {"word": F.col("w"), "pair": F.filter(F.zip_with("w", following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()), "mark": F.col("m")}
-    out = None
-    for form, keys in kinds.items():
-        forms = ["word", "next"] if form == "word" else [form]
-        held = wanted.filter(F.col("form").isin(*forms)).select("key").distinct()
-        counts = rows.select(F.explode(keys).alias("key")).join(held, "key", "left_semi").groupBy("key").agg(F.count("*").alias("total"))
-        counts = counts.withColumn("form", F.explode(F.array(*[F.lit(f) for f in forms])))
-        out = counts if out is None else out.unionByName(counts)
-    return out.select("form", "key", "total")
+    """(h, total): how often the wanted words, pairs and marks (column h) occur in the column __text, before or after anything. One pass."""
+    plain = F.lower(F.regexp_replace("__text", r"[^\p{L}\p{N}\s@]++", ""))
+    tokens = F.split(F.regexp_replace(plain, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "#"), SPACE)
+    rows = texts.select(F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(tokens, lambda w: w != "")).alias("w"), marks(F.col("__text")).alias("m"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: hashed("pair", a, b))
+    rows = rows.select(F.explode(F.concat(F.transform("w", lambda w: hashed("word", w)), pairs, F.transform("m", lambda m: hashed("mark", m)))).alias("h"))
+    some = wanted.select("h").distinct()
+    if some.count() <= HELD:
+        return rows.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.count("*").alias("total"))
+    return rows.groupBy("h").agg(F.count("*").alias("total")).join(some, "h", "left_semi")
+
+
+def dealt(many: DataFrame, few: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """An inner join in which one key may hold most rows of `many`: they go to PARTS tasks by other columns, and each row of `few` to all of them."""
+    part = F.pmod(F.xxhash64(*by), F.lit(PARTS))
+    return many.withColumn("_part", part).join(few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), [*keys, "_part"]).drop("_part")
 
 
 def side(form: Column) -> Column:
@@ -182,24 +201,26 @@ def sides(best: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).agg(*[(1 - F.coalesce(F.max(F.when(side(F.col("form")) == s, F.col("p"))), F.lit(0.0))).alias(s) for s in ("left", "right", "shape")])
 
 
-def patterns(found: DataFrame, texts: DataFrame, rounds: int = 6, least: float = 0.2) -> DataFrame:
+def patterns(found: DataFrame, texts: DataFrame, rounds: int = 8, least: float = 0.2) -> DataFrame:
     """(form, key, p): the patterns' scores after the rounds. `found`: rows of keyed(). Both sides of the graph are aggregated before they meet."""
-    edges = staged(found.groupBy("form", "key", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "op8-edges")
-    known = edges.groupBy("token").agg(F.when(F.max("seed"), 1.0).when(code(F.col("token")), 0.5).otherwise(0.0).alias("known"))
-    edges = staged(edges.drop("seed").join(known, "token"), "op8-graph")
-    met = edges.groupBy("form", "key").agg(F.sum("n").alias("seen"), F.count("*").alias("tokens"), F.max("known").alias("most"))
-    wanted = staged(met.filter((F.col("tokens") > 1) & (F.col("most") > 0)), "op8-wanted")
-    totals = wanted.filter("form = 'shape'").select("form", "key", F.col("seen").alias("total"))
-    totals = totals.unionByName(frequencies(texts, wanted.filter("form <> 'shape'").select("form", "key")))
-    held = wanted.join(totals, ["form", "key"]).filter(F.col("seen") >= least * F.col("total")).select("form", "key", F.greatest("seen", "total").alias("total"))
-    edges = staged(edges.join(staged(held, "op8-held"), ["form", "key"]), "op8-links")
-    rated = edges.withColumn("r", F.col("known"))
+    edges = staged(found.groupBy("form", "key", "token").agg(F.count("*").alias("n"), F.max("seed").cast("double").alias("seed")), "op8-edges")
+    known = edges.groupBy("token").agg(F.max("seed").alias("known"))
+    met = edges.groupBy("form", "key").agg(F.sum("n").alias("seen"), F.count("*").alias("tokens")).filter("tokens > 1")
+    wanted = staged(met.withColumn("h", counted(F.col("form"), F.col("key"))), "op8-wanted")
+    shapes = F.col("form").isin("shape", "class")
+    counts = staged(frequencies(texts, wanted.filter(~shapes)), "op8-counts")
+    totals = wanted.filter(~shapes).join(counts, "h").unionByName(wanted.filter(shapes).withColumn("total", F.col("seen")))
+    held = staged(totals.filter(F.col("seen") >= least * F.col("total")).select("form", "key", F.greatest("seen", "total").alias("total")), "op8-held")
+    links = staged(dealt(dealt(edges.drop("seed"), held, ["form", "key"], ["token"]), known, ["token"], ["form", "key"]), "op8-links")
+    for done in (edges, wanted, counts):
+        discard(done)
+    rated, scored = links.withColumn("r", F.col("known")), None
     for k in range(rounds):
         scored = staged(rated.groupBy("form", "key").agg((F.sum(F.col("n") * F.col("r")) / (F.first("total") + 2)).alias("p")), "op8-patterns")
         if k + 1 < rounds:
-            met = staged(sides(edges.join(scored, ["form", "key"]).select("token", "form", "p"), ["token"]), "op8-weights")
+            met = staged(sides(dealt(links, scored, ["form", "key"], ["token"]).select("token", "form", "p"), ["token"]), "op8-weights")
             others = [F.when(side(F.col("form")) == s, F.lit(1.0)).otherwise(F.col(s)) for s in ("left", "right", "shape")]
-            rated = edges.join(met, "token").withColumn("r", 1 - (1 - F.col("known")) * others[0] * others[1] * others[2])
+            rated = dealt(links, met, ["token"], ["form", "key"]).withColumn("r", 1 - (1 - F.col("known")) * others[0] * others[1] * others[2])
     return scored
 
 
@@ -217,7 +238,8 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, sc
     rows = rows.drop("__found")
     if good.isEmpty():
         return rows.drop("__row").withColumn("context", F.array().cast(_SPANS))
-    reached = sides(found.filter(~F.col("seed")).join(good, ["form", "key"]), ["__row", "start", "end"]).filter(1 - F.col("left") * F.col("right") * F.col("shape") >= score)
+    reached = sides(dealt(found.filter(~F.col("seed")), good, ["form", "key"], ["__row", "start"]), ["__row", "start", "end"])
+    reached = reached.filter((1 - F.col("left") * F.col("right") * F.col("shape") >= score) & (1 - F.col("left") * F.col("right") >= score / 2))
     added = reached.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     return rows.join(added, "__row", "left").withColumn("context", F.coalesce("context", F.array().cast(_SPANS))).drop("__row")
 

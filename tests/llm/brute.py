@@ -132,3 +132,72 @@ def op10(text: str | None, templates: dict[str, list[str]], least: float = 0.85)
             if not whole or whole[0] != name:
                 found.append(taken[-1])
     return ([(0, *whole)] if whole else []) + [(n, name, d) for n, _, _, name, d in sorted(found)]
+
+
+def op8_contexts(texts: list[str | None], rounds: int = 8, least: float = 0.2, score: float = 0.8) -> list[list[tuple[int, int]]]:
+    """Spans of kind context of each text, by plain loops over tokens, patterns and rounds."""
+    import regex
+
+    white = " \t\n\x0b\f\r"
+    plain = lambda s: regex.sub(rf"[^\p{{L}}\p{{N}}{white}]+", "", s).lower().split()
+    marked = lambda s: [regex.sub(f"[{white}]+", "", m) for m in regex.findall(rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]++[{white}]*+[^\p{{L}}\p{{N}}{white}][^\p{{L}}\p{{N}}]*+", s.lower())]
+    sides = {"pair": "left", "word": "left", "mark": "left", "next": "right", "shape": "shape", "class": "shape"}
+    total, rows = Counter(), []
+    for number, text in enumerate(texts):
+        text = text or ""
+        base = [tuple(map(int, x.split(":")[1:])) for x in op8(text)[5].split(",") if x]
+        tokens = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if re.search("[0-9@]", m.group())]
+        stream = ["^", "^"] + [w for m in re.finditer(r"[^\x20\x09-\x0D]+", text) for w in (["#"] if re.search("[0-9@]", m.group()) else plain(m.group()))]
+        total.update(("word", w) for w in stream)
+        total.update(("pair", f"{a} {b}") for a, b in zip(stream, stream[1:]))
+        total.update(("mark", m) for m in marked(text))
+        near, at = ["^", "^"], 0
+        for k, m in enumerate(tokens):
+            start, end, token, gap = m.start(), m.end(), m.group(), text[at : m.start()]
+            near = (plain(gap)[::-1] + near)[:2]
+            following = text[end : tokens[k + 1].start()] if k + 1 < len(tokens) else text[end:]
+            seed = any(start <= s < end for s, _ in base)
+            if seed or not any(s < end and e > start for s, e in base) and (len(re.sub("[^0-9]", "", token)) >= 6 or "@" in token):
+                lead = gap + regex.match(r"[^\p{L}\p{N}]*", token).group()
+                core = re.sub("[^A-Za-z0-9@.:-]+", "", token)
+                runs = "".join(f"9x{len(r)}" if r[0].isdigit() else f"ax{len(r)}" if r[0].isalpha() else r for r in re.findall("[A-Za-z]+|[0-9]+|[@.:-]+", core))
+                keys = {"pair": f"{near[1]} {near[0]}", "word": near[0], "mark": (marked(lead) or [None])[-1] if regex.search(rf"[^\p{{L}}\p{{N}}{white}][{white}]*\Z", lead) else None,
+                        "next": (plain(following) or ["#" if k + 1 < len(tokens) else "$"])[0], "shape": runs,
+                        "class": ("a9" if regex.search(r"\p{L}", token) else "9") + (" long" if len(core) >= 16 else " short")}
+                keys = {f: x for f, x in keys.items() if x is not None and x not in ("#", "^", "$", "^ ^", "# #", "^ #")}
+                rows.append((number, start, end, token, seed, keys))
+            near, at = ["#", *near][:2], end
+    times, seen, kinds, known = Counter(), Counter(), {}, {}
+    for _, _, _, token, seed, keys in rows:
+        known[token] = max(known.get(token, 0.0), float(seed))
+        for p in keys.items():
+            times[p, token] += 1
+            seen[p] += 1
+            kinds.setdefault(p, set()).add(token)
+    of = lambda p: seen[p] if p[0] in ("shape", "class") else total[("word" if p[0] == "next" else p[0], p[1])]
+    held = {p: max(seen[p], of(p)) for p, t in kinds.items() if len(t) > 1 and of(p) and seen[p] >= least * of(p)}
+    weight = {key: known[key[1]] for key in times if key[0] in held}
+    scored: dict = {}
+    for _ in range(rounds):
+        sums: Counter = Counter()
+        for (p, token), w in weight.items():
+            sums[p] += times[p, token] * w
+        scored = {p: s / (held[p] + 2) for p, s in sums.items()}
+        top: dict = {}
+        for p, token in weight:
+            spot = top.setdefault(token, dict.fromkeys(("left", "right", "shape"), 0.0))
+            spot[sides[p[0]]] = max(spot[sides[p[0]]], scored[p])
+        for p, token in weight:
+            miss = 1 - known[token]
+            for s, v in top[token].items():
+                miss *= 1.0 if s == sides[p[0]] else 1 - v
+            weight[p, token] = 1 - miss
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for number, start, end, _, seed, keys in rows:
+        best = dict.fromkeys(("left", "right", "shape"), 0.0)
+        for p in keys.items():
+            best[sides[p[0]]] = max(best[sides[p[0]]], scored.get(p, 0.0))
+        outside = (1 - best["left"]) * (1 - best["right"])
+        if not seed and 1 - outside * (1 - best["shape"]) >= score and 1 - outside >= score / 2:
+            out[number].append((start, end))
+    return out
