@@ -14,6 +14,8 @@ common; a partner must occur on one of its short lists, those of its n - ceil(pe
    merged with a heap, giving each partner's count so far; partners that can't reach T any more are dropped; long lists are probed by binary
    search for the rest.
 
+Shingles are compared as 64-bit hashes, on which sizes and links rest; two different ones agree with a chance of 2^-64.
+
 The order of shingles comes from a sample of documents: it only decides how long lists are, any order gives the same links. The table of
 frequent shingles has a fixed size, and so has the table of bits that picks the texts to read again.
 
@@ -52,11 +54,20 @@ def frequent(docs: DataFrame, text: str, size: int, one_in: int = 8, least: int
         return lambda texts: [[s.view(np.int64).tolist() for s in shingles(texts, size)]]
 
     rows = appended(sample, text, [T.StructField("s", T.ArrayType(T.LongType()))], start)
-    counts = rows.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= least).orderBy(F.desc("count")).limit(most).collect()
+    level = F.least(F.lit(255), F.floor(8 * F.log2("count"))).cast("int").alias("level")
+    counts = staged(rows.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= least).select("s", level), "op2-levels")
+    # The lowest level that still fits, from the number of shingles of each level.
+    held, floor = 0, 256
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        floor = r["level"]
+    cell = F.shiftrightunsigned("s", 64 - CELLS).alias("cell")
+    cells = counts.filter(F.col("level") >= floor).groupBy(cell).agg(F.max("level").alias("level")).toArrow()
+    discard(counts)
     table = np.zeros(1 << CELLS, np.uint8)
-    if counts:
-        cells = (np.array([r["s"] for r in counts], np.int64).view(np.uint64) >> np.uint64(64 - CELLS)).astype(np.int64)
-        np.maximum.at(table, cells, np.minimum(255, 8 * np.log2([r["count"] for r in counts])).astype(np.uint8))
+    table[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
     return table
 
 

@@ -26,13 +26,13 @@ def op1(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(under), len(w) < 50 or 100 * len(under) > 50 * len(w)
 
 
-def shingle_set(text: str | None) -> set:
+def shingle_set(text: str | None, size: int = 4) -> set:
     w = WORD.findall((text or "").translate(LOWER))
-    return set(zip(w, w[1:], w[2:], w[3:], strict=False)) if len(w) > 3 else ({tuple(w)} if w else set())
+    return set(zip(*[w[k:] for k in range(size)], strict=False)) if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def op2(rows: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int]]:
-    sets = {i: shingle_set(t) for i, t in rows}
+def op2(rows: list[tuple[int, str | None]], percent: int = 85, size: int = 4) -> dict[int, tuple[int, int]]:
+    sets = {i: shingle_set(t, size) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x: int) -> int:

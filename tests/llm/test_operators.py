@@ -49,11 +49,17 @@ def test_rules_find_the_junk(spark):
 
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_join(docs, size, percent):
-    if size != 4:
-        assert op2_jaccard_join.join(docs, size=size, percent=percent).count() == len(texts())
-        return
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_jaccard_join.join(docs, size=size, percent=percent).collect()}
-    assert got == brute.op2(texts())
+    assert got == brute.op2(texts(), percent, size)
+
+
+def test_words_of_two_letters_differ(spark):
+    """Words whose polynomials agree in every odd base modulo 2^64."""
+    first = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    second = first.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join(f"{w}x{k}" for k in range(40))) for i, w in enumerate((first, second))] + [(2, first), (3, second)]
+    got = op2_jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, k) for k in range(4)}
 
 
 def test_join_of_a_large_group(spark):
