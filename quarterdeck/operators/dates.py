@@ -4,12 +4,10 @@ The axis of a fact is ``instant`` (qtrs = 0) or ``duration``. The two are never
 """
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarterdeck.config import RECONCILE
 from quarterdeck.functions.scalars import same_number
-from quarterdeck.operators.pick import spread
 from quarterdeck.tags import WEIGHTED_SHARE_TAGS
 
 DAYS = RECONCILE["near_date_days"]
@@ -70,40 +68,31 @@ def pair_evidence(facts: DataFrame) -> DataFrame:
     return out.select("cik", "axis", "a", "b", "agree", "disagree", "n_a", "n_b", merge.alias("merge"))
 
 
-def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Connected dates of one company and axis. Each date has at most 20 edges to later ones."""
-    links: dict = {}
-    for a, b in zip(pdf["a"], pdf["b"]):
-        links.setdefault(a, []).append(b)
-        links.setdefault(b, []).append(a)
-    rows, seen = [], set()
-    for start in sorted(links):
-        if start in seen:
-            continue
-        todo = [start]
-        seen.add(start)
-        while todo:
-            date = todo.pop()
-            rows.append((date, start))
-            fresh = [d for d in links[date] if d not in seen]
-            seen.update(fresh)
-            todo.extend(fresh)
-    out = pd.DataFrame(rows, columns=["period_end", "cluster"])
-    out.insert(0, "axis", pdf["axis"].iloc[0])
-    out.insert(0, "cik", pdf["cik"].iloc[0])
-    return out
+# every date starts as its own cluster; an edge gives both of its clusters the earlier name
+_JOINED = """
+explode(aggregate(edges, transform(array_sort(array_distinct(flatten(transform(edges, e -> array(e.a, e.b))))), d -> named_struct('d', d, 'c', d)),
+  (dates, e) -> transform(dates, x -> named_struct('d', x.d, 'c',
+    if(x.c = get(filter(dates, y -> y.d = e.a), 0).c OR x.c = get(filter(dates, y -> y.d = e.b), 0).c,
+       least(get(filter(dates, y -> y.d = e.a), 0).c, get(filter(dates, y -> y.d = e.b), 0).c), x.c)))))"""
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(cik, axis, period_end, cluster) of linked dates, the cluster being its earliest date. Edges are short, so a company's dates fall into runs that no edge
+    leaves, some days long; each run is folded by itself."""
+    order = Window.partitionBy("cik", "axis").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = edges.withColumn("_fresh", (reach.isNull() | (F.col("a") > reach)).cast("int")).withColumn("_run", F.sum("_fresh").over(order))
+    packed = runs.groupBy("cik", "axis", "_run").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges"))
+    return packed.select("cik", "axis", F.expr(_JOINED).alias("x")).select("cik", "axis", F.col("x.d").alias("period_end"), F.col("x.c").alias("cluster"))
 
 
 def clusters(evidence: DataFrame, facts: DataFrame) -> DataFrame:
     """R2: (cik, axis, period_end, canonical) of the dates that merge; the date with most api facts stands for all."""
-    edges = spread(evidence.where("merge").select("cik", "axis", "a", "b"), ["cik", "axis"])
-    linked = edges.groupBy("cik", "axis").applyInPandas(
-        _components, "cik long, axis string, period_end date, cluster date")
+    linked = components(evidence.where("merge").select("cik", "axis", "a", "b"))
     counts = facts.where("source = 'api'").groupBy("cik", "period_end").agg(F.count(F.lit(1)).alias("n"))
     sized = linked.join(counts, ["cik", "period_end"])
-    chosen = sized.groupBy("cik", "axis", "cluster").agg(
-        F.max_by("period_end", F.struct("n", -F.unix_date("period_end"))).alias("canonical"))
-    return sized.join(chosen, ["cik", "axis", "cluster"]).select("cik", "axis", "period_end", "canonical")
+    chosen = F.max_by("period_end", F.struct("n", -F.unix_date("period_end"))).over(Window.partitionBy("cik", "axis", "cluster"))
+    return sized.select("cik", "axis", "period_end", chosen.alias("canonical"))
 
 
 def snap_dates(probes: DataFrame, grid: DataFrame) -> DataFrame:

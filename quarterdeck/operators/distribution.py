@@ -1,18 +1,20 @@
 """Exact order statistics of groups of any size (A1, A2, A5).
 
-Values are first reduced to (value, count) rows, then each group is cut at approximate quantiles, so that ranking one
-group is the work of many tasks. The cuts only balance the work: they do not enter the result.
+Values are first reduced to (value, count) rows, which are materialised, so the input is read once. These are dealt by ranges of (group, value) into as
+many slices as their number asks for; a value's rank is the sum of its group's counts in earlier slices and before it in its own. So ranking one
+group is the work of as many tasks as it has slices, and no task holds more than about SLICE rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarterdeck.functions.scalars import finite
+from quarterdeck.operators.checkpoint import cut
 
-CUTS = [i / 32 for i in range(1, 32)]
+SLICE = 1_000_000
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, probes: DataFrame | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, probes: DataFrame | None = None, slice_rows: int = SLICE) -> DataFrame:
     """One row per distinct value of a group: ``n_at`` equal, ``n_below`` smaller, ``n_total`` in all.
 
     Rows of ``probes`` are ranked against the group without being counted in it.
@@ -20,18 +22,17 @@ def value_ranks(df: DataFrame, by: list[str], value: str, probes: DataFrame | No
     rows = df.where(finite(value)).select(*by, F.col(value).alias("_v"), F.lit(1).alias("_n"))
     if probes is not None:
         rows = rows.unionByName(probes.where(finite(value)).select(*by, F.col(value).alias("_v"), F.lit(0).alias("_n")))
-    counts = rows.groupBy(*by, "_v").agg(F.sum("_n").alias("n_at"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", CUTS, 1000).alias("_cuts"))
-    cut = (counts.join(cuts, by)
-           .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"))
-    slices = cut.groupBy(*by, "_slice").agg(F.sum("n_at").alias("_in"))
-    whole = Window.partitionBy(*by)
-    slices = slices.select(*by, "_slice", F.sum("_in").over(whole).alias("n_total"),
-                           (F.sum("_in").over(whole.orderBy("_slice")) - F.col("_in")).alias("_before"))
-    inside = Window.partitionBy(*by, "_slice").orderBy("_v")
-    return (cut.join(slices, [*by, "_slice"])
-            .withColumn("n_below", F.col("_before") + F.sum("n_at").over(inside) - F.col("n_at"))
-            .select(*by, F.col("_v").alias(value), "n_at", "n_below", "n_total"))
+    counts = cut(rows.groupBy(*by, "_v").agg(F.sum("_n").alias("n_at")))
+    slices = -(-counts.count() // slice_rows)
+    inside, whole = Window.partitionBy(*by, "_slice").orderBy("_v"), Window.partitionBy(*by)
+    if slices <= 1:
+        ranked = counts.withColumns({"n_below": F.sum("n_at").over(whole.orderBy("_v")) - F.col("n_at"), "n_total": F.sum("n_at").over(whole)})
+    else:
+        dealt = cut(counts.repartitionByRange(slices, *by, "_v").withColumn("_slice", F.spark_partition_id()))
+        sums = dealt.groupBy(*by, "_slice").agg(F.sum("n_at").alias("_in"))
+        sums = sums.select(*by, "_slice", F.sum("_in").over(whole).alias("n_total"), (F.sum("_in").over(whole.orderBy("_slice")) - F.col("_in")).alias("_before"))
+        ranked = dealt.join(sums, [*by, "_slice"]).withColumn("n_below", F.col("_before") + F.sum("n_at").over(inside) - F.col("n_at"))
+    return ranked.select(*by, F.col("_v").alias(value), "n_at", "n_below", "n_total")
 
 
 def median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:

@@ -17,9 +17,3 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank
 
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Shuffle on ``keys`` over all shuffle partitions. Few bytes may mean much Python work, which coalescing would queue up in one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)

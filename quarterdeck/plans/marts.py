@@ -194,15 +194,19 @@ def freshness(latest: DataFrame, as_of) -> DataFrame:
     return latest.select("*", *[staleness(c, as_of, STALENESS[k]).alias(f"{c}_state") for c, k in limits.items()])
 
 
+COMPANY_DETAIL = ["ticker", "name", "sic", "sic_description", "exchange", "fiscal_year_end", "state", "state_description"]
+VALUATION_DETAIL = ["fair_value_status", "fair_value_reason", "fair_value_per_share", "assumptions", "price_status", "price_ratio", "margin_of_safety", "valuation_status", "moat_signal",
+                    "moat_periods_evaluated", "moat_periods_clearing", "moat_reason", "moat_evidence", "uncertainty_level", "uncertainty_score", "uncertainty_drivers"]
+
+
 def stock_detail(tables: dict[str, DataFrame], periods: DataFrame, as_of) -> DataFrame:
-    """One row per company of the dimension chain, scored or not."""
-    head = dimension_chain(tables["companies"].select("cik", "ticker", "name"), tables["company_industry"], tables["industries"], tables["themes"])
-    scores = latest_scores(tables["scores"]).select("cik", C("as_of").alias("score_as_of"), "score", "completeness", "category")
+    """One row per company of the dimension chain, scored or not, with all that is stored about its newest score, valuation, price and year."""
+    head = dimension_chain(tables["companies"].select("cik", *COMPANY_DETAIL), tables["company_industry"], tables["industries"], tables["themes"])
+    scores = latest_scores(tables["scores"]).select("cik", C("as_of").alias("score_as_of"), "score", "completeness", "category", C("engine_version").alias("score_engine_version"))
     market = best_row(tables["market_data"].select("cik", "date", "price", "market_cap", "shares_basis"), ["cik"], [C("date")])
     fin = best_row(periods.where("period_type = 'TTM'").select("cik", "period_end", "revenue", "gross_profit", "operating_income", "fcf", "cash", "total_debt"),
                    ["cik"], [C("period_end")])
-    values = best_row(tables["valuations"].select("cik", "as_of", "fair_value_status", "fair_value_per_share", "valuation_status", "moat_signal", "uncertainty_level"),
-                      ["cik"], [C("as_of")]).drop("as_of")
+    values = best_row(tables["valuations"].select("cik", C("as_of").alias("valuation_as_of"), *VALUATION_DETAIL, C("engine_version").alias("valuation_engine_version")), ["cik"], [C("valuation_as_of")])
     factors = tables["score_factors"].groupBy("cik", "as_of").agg(F.array_sort(F.collect_list(
         F.struct((-C("weight")).alias("order"), "factor_key", "points", "raw", "status", "percentile", "detail"))).alias("factors"))
     flags = tables["red_flags"].groupBy("cik", "as_of").agg(F.array_sort(F.collect_list(F.struct("severity", "code"))).alias("flags"))

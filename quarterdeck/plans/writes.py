@@ -1,6 +1,7 @@
-"""Writing result tables."""
+"""Writing result tables (K6, K8, K9, K11) so that no reader sees half a write, and run records."""
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,29 +13,72 @@ from quarterdeck import schemas
 from quarterdeck.operators.checkpoint import cut
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """The rows already written, none if the folder is missing; only that error is expected."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return df.limit(0)
-    return spark.read.schema(df.schema).parquet(path)
+PART, COMMITS, DATA = "_part", "_commits", "_data"
 
 
-def _replace_partitions(rows: DataFrame, path: str, column: str, touched: list) -> None:
-    """Writes the partitions of ``rows``; a touched partition that is left without rows is removed. ``touched`` is as short as the run's dates
-    or the buckets, never a list of companies."""
-    spark = rows.sparkSession
-    rows = cut(rows)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
-    filled = {r[0] for r in rows.select(column).distinct().collect()}
-    for value in set(touched) - filled:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) of a path, for listing, renaming and removing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _committed(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest commit of a table, and the folder of each of its parts; (0, {}) before the first one."""
+    fs, folder = _fs(spark, f"{path}/{COMMITS}")
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()] if fs.exists(folder) else []
+    if not numbers:
+        return 0, {}
+    last = max(numbers)
+    return last, json.loads(spark.read.text(f"{path}/{COMMITS}/{last:012d}", wholetext=True).first()[0])
+
+
+def _commit(spark: SparkSession, path: str, number: int, parts: dict[str, str]) -> None:
+    """The one step that makes a write visible: a finished folder gets its number by renaming."""
+    made = f"{path}/{COMMITS}/{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(parts, sort_keys=True),)], "value string").coalesce(1).write.text(made)
+    (fs, source), (_, target) = _fs(spark, made), _fs(spark, f"{path}/{COMMITS}/{number:012d}")
+    if fs.exists(target) or not fs.rename(source, target):
+        raise RuntimeError(f"{path}: another run has committed number {number}")
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The table as of its newest commit. A schema is needed before the first one and for a table without rows."""
+    folders = sorted(_committed(spark, path)[1].values())
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if not folders:
+        if schema is None:
+            raise FileNotFoundError(f"{path}: no rows committed")
+        return spark.createDataFrame([], schema)
+    return reader.parquet(*[f"{path}/{DATA}/{f}" for f in folders])
+
+
+def _publish(rows: DataFrame, path: str, column: str, touched: list) -> None:
+    """Replaces the touched parts of a table by ``rows``. New files go to a folder of their own; readers see the old table until the commit and the new one
+    after it, also if the run ends in between. ``touched`` is as short as the run's dates or the buckets, never a list of companies."""
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    number, parts = _committed(spark, path)
+    rows.withColumn(PART, F.col(column).cast("string")).write.partitionBy(PART).parquet(f"{path}/{DATA}/{run}")
+    fs, folder = _fs(spark, f"{path}/{DATA}/{run}")
+    filled = [f.getPath().getName().removeprefix(f"{PART}=") for f in fs.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith(f"{PART}=")]
+    kept = {value: place for value, place in parts.items() if value not in {str(t) for t in touched}}
+    _commit(spark, path, number + 1, kept | {value: f"{run}/{PART}={value}" for value in filled})
+
+
+def tidy(spark: SparkSession, path: str) -> None:
+    """Removes files that the newest commit doesn't name, once no reader of an older one is left."""
+    used = set(_committed(spark, path)[1].values())
+    fs, folder = _fs(spark, f"{path}/{DATA}")
+    for run in fs.listStatus(folder) if fs.exists(folder) else []:
+        parts = [f.getPath() for f in fs.listStatus(run.getPath())]
+        for part in parts:
+            if part.getName().startswith(f"{PART}=") and f"{run.getPath().getName()}/{part.getName()}" not in used:
+                fs.delete(part, True)
+        if not any(place.startswith(f"{run.getPath().getName()}/") for place in used):
+            fs.delete(run.getPath(), True)
 
 
 def write_run(tables: dict[str, DataFrame], root: str, scored: DataFrame | None = None) -> None:
-    """K8, K9: one folder per table, one partition per as_of. ``scored`` names the (cik, as_of) of this run, by default those in any of its
+    """K8, K9: one table per name, one part per as_of; read them by read_table. ``scored`` names the (cik, as_of) of this run, by default those in any of its
     tables: their rows are replaced, so a flag that is gone disappears, even the last one. Other companies and dates stay."""
     if scored is None:
         frames = [df.select("cik", "as_of") for df in tables.values()]
@@ -45,21 +89,21 @@ def write_run(tables: dict[str, DataFrame], root: str, scored: DataFrame | None
     dates = [r["as_of"] for r in scored.select("as_of").distinct().collect()]
     for name, df in tables.items():
         path = f"{root}/{name}"
-        kept = _stored(df, path).where(F.col("as_of").isin(dates)).join(scored, ["cik", "as_of"], "left_anti")
-        _replace_partitions(df.unionByName(kept.select(*df.columns)), path, "as_of", dates)
+        kept = read_table(df.sparkSession, path, df.schema).where(F.col("as_of").isin(dates)).join(scored, ["cik", "as_of"], "left_anti")
+        _publish(df.unionByName(kept.select(*df.columns)), path, "as_of", dates)
 
 
 def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = 64, batch: DataFrame | None = None) -> None:
     """K6: periods spread over hash buckets of the company, so that a partial rerun rewrites only the buckets it touches. ``batch`` names the
-    companies of this run, by default those of ``df``; rows of other companies in a touched bucket stay. Choose ``buckets`` by the size of the
-    table when it is first written and keep it."""
+    companies of this run, by default those of ``df``; rows of other companies in a touched bucket stay. Each bucket is written by
+    one task, as some 10,000 buckets of 1 GB for 10 TB of periods; choose ``buckets`` by the size of the table when it is first written and keep it."""
     bucket = F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
     new = df.withColumn("bucket", bucket)
     done = cut((df if batch is None else batch).select(key, bucket).distinct())
     touched = [r["bucket"] for r in done.select("bucket").distinct().collect()]
-    kept = _stored(new, path).where(F.col("bucket").isin(touched)).join(done.select(key), key, "left_anti")
-    rows = new.unionByName(kept.select(*new.columns)).repartition("bucket", key).sortWithinPartitions("bucket", key)
-    _replace_partitions(rows, path, "bucket", touched)
+    kept = read_table(df.sparkSession, path, new.schema).where(F.col("bucket").isin(touched)).join(done.select(key), key, "left_anti")
+    rows = new.unionByName(kept.select(*new.columns)).repartition("bucket").sortWithinPartitions("bucket", key)
+    _publish(rows, path, "bucket", touched)
 
 
 class Run:

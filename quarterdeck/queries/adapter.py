@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quarterdeck import tags as t
+from quarterdeck.operators.checkpoint import cut
 
 AS_OF = "2001-11-15"
 
@@ -89,7 +90,8 @@ CTES["a_company"] = """
 SELECT cik, concat('S', cik) AS ticker, s_name AS name, concat('', 3000 + s_nationkey) AS sic,
        CASE WHEN s_nationkey % 7 = 3 THEN concat('NATION ', s_nationkey, ', NEC')
             ELSE concat('NATION ', s_nationkey) END AS sic_description,
-       'Q' AS exchange, 'operating' AS entity_type, cik % 37 <> 5 AS is_active,
+       'Q' AS exchange, CASE WHEN s_nationkey % 3 = 1 THEN '0630' WHEN s_nationkey % 3 = 2 THEN '1231' END AS fiscal_year_end, concat('N', s_nationkey) AS state,
+       concat('NATION ', s_nationkey) AS state_description, 'operating' AS entity_type, cik % 37 <> 5 AS is_active,
        DATE '1999-01-01' AS first_seen, DATE '2001-01-01' AS last_updated
 FROM a_size"""
 
@@ -271,13 +273,21 @@ class Tables:
     BASE = ("region", "nation", "supplier", "part", "lineitem", "events")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self._full = spark, None
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         for name in self.BASE:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(expand(text, CTES))
+        """The statement on the mapped tables. What it reads of the quarters of all companies comes from one materialised frame, so the line items
+        are read and grouped once, however many tables are built from them."""
+        whole = expand(text, CTES)
+        if "a_full AS (" not in whole:
+            return self.spark.sql(whole)
+        if self._full is None:
+            self._full = cut(self.spark.sql(expand("SELECT * FROM a_full", CTES)))
+        self._full.createOrReplaceTempView("a_full")
+        return self.spark.sql(expand(text, {name: body for name, body in CTES.items() if name != "a_full"}))
 
     @property
     def a_facts(self) -> DataFrame:

@@ -132,7 +132,13 @@ def t8(t):
     return marts.headlines(cut(marts.industry_rows(rows(t))))
 
 
-@query("C13_rationale")
+ORACLE["o_rationale"] = """
+SELECT cik, CASE WHEN length(said) > 140 THEN rtrim(substring(said, 1, 139)) || '…' ELSE said END AS rationale FROM (
+  SELECT cik, string_agg(factor_key || coalesce(' ' || printf('%.4f', raw), ''), ' · ' ORDER BY fill DESC, factor_key) AS said FROM (
+    SELECT *, row_number() OVER (PARTITION BY cik ORDER BY fill DESC, factor_key) AS rn FROM o_fill) x WHERE rn <= 3 GROUP BY cik) y"""
+
+
+@query("C13_rationale", f"SELECT cik, {DAY} AS as_of, rationale FROM o_rationale")
 def c13(t):
     return marts.rationale(factor_table(t))
 
@@ -166,17 +172,31 @@ def d3(t):
                            r("fcf_margin").alias("fcf_margin"), "total_debt", r("score").alias("score"), r("completeness").alias("completeness"), "critical_count", "warning_count")
 
 
+_SCORE_VERSION, _VALUE_VERSION = scoring.engine_versions()
+_scored = lambda x, name: f"CASE WHEN w.score IS NOT NULL THEN {x} END AS {name}"
+
+
 @query("D4_stock_detail", f"""
-SELECT c.cik, c.ticker, ci.industry_slug, round(w.score, 6) AS score, w.category, m.price, m.market_cap, round(CASE WHEN t[1].revenue > 0 THEN t[1].operating_income / t[1].revenue END, 6) AS operating_margin,
+SELECT c.cik, c.ticker, c.name, c.sic, c.sic_description, c.exchange, c.fiscal_year_end, c.state, c.state_description, ci.industry_slug, ci.source AS classification_source, i.name AS industry_name, th.name AS theme_name,
+  round(w.score, 6) AS score, round(w.completeness, 6) AS completeness, w.category, {_scored(DAY, 'score_as_of')}, {_scored(f"'{_SCORE_VERSION}'", 'score_engine_version')}, m.price, m.market_cap, m.date, m.shares_basis,
+  x.t[1].period_end AS period_end, x.t[1].revenue AS revenue, round(CASE WHEN x.t[1].revenue > 0 THEN x.t[1].gross_profit / x.t[1].revenue END, 6) AS gross_margin,
+  round(CASE WHEN x.t[1].revenue > 0 THEN x.t[1].operating_income / x.t[1].revenue END, 6) AS operating_margin, round(CASE WHEN x.t[1].revenue > 0 THEN x.t[1].fcf / x.t[1].revenue END, 6) AS fcf_margin,
   CASE WHEN m.date IS NULL THEN 'UNKNOWN' WHEN date_diff('day', m.date, {DAY}) > 5 THEN 'STALE' ELSE 'FRESH' END AS price_state,
-  CASE WHEN w.score IS NULL THEN 'UNKNOWN' ELSE 'FRESH' END AS score_state, CASE WHEN w.score IS NULL THEN NULL WHEN v.reason IS NULL THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS fair_value_status,
-  CASE WHEN w.score IS NULL THEN NULL ELSE mo.signal END AS moat_signal
-FROM a_company c JOIN a_ci ci ON ci.cik = c.cik JOIN a_industry i ON i.slug = ci.industry_slug LEFT JOIN o_rows w ON w.cik = c.cik LEFT JOIN o_market m ON m.cik = c.cik
-LEFT JOIN o_arr_t x ON x.cik = c.cik LEFT JOIN o_fair v ON v.cik = c.cik LEFT JOIN o_moat mo ON mo.cik = c.cik""".replace("t[1]", "x.t[1]"))
+  CASE WHEN x.t[1].period_end IS NULL THEN 'UNKNOWN' WHEN date_diff('day', x.t[1].period_end, {DAY}) > 120 THEN 'STALE' ELSE 'FRESH' END AS financials_state,
+  CASE WHEN w.score IS NULL THEN 'UNKNOWN' ELSE 'FRESH' END AS score_state, {_scored(DAY, 'valuation_as_of')}, {_scored(f"'{_VALUE_VERSION}'", 'valuation_engine_version')},
+  {_scored("CASE WHEN v.reason IS NULL THEN 'OK' ELSE 'INSUFFICIENT_DATA' END", 'fair_value_status')}, {_scored('v.reason', 'fair_value_reason')}, {_scored('round(v.per_share, 4)', 'fair_value_per_share')},
+  {_scored('p.status', 'price_status')}, {_scored('round(p.ratio, 6)', 'price_ratio')}, {_scored('round(p.safety, 6)', 'margin_of_safety')}, {_scored('p.valuation_status', 'valuation_status')},
+  {_scored('mo.signal', 'moat_signal')}, {_scored('mo.periods_evaluated', 'moat_periods_evaluated')}, {_scored('mo.periods_clearing', 'moat_periods_clearing')}, {_scored('mo.reason', 'moat_reason')},
+  {_scored("CASE WHEN u.score >= 0.75 THEN 'SEVERE' WHEN u.score >= 0.5 THEN 'ELEVATED' WHEN u.score >= 0.25 THEN 'MODERATE' ELSE 'MINIMAL' END", 'uncertainty_level')}, {_scored('round(u.score, 6)', 'uncertainty_score')},
+  CAST(coalesce(f.n, 0) AS INT) AS n_factors, CAST(w.critical_count + w.warning_count AS INT) AS n_flags
+FROM a_company c JOIN a_ci ci ON ci.cik = c.cik JOIN a_industry i ON i.slug = ci.industry_slug JOIN a_theme th ON th.slug = i.theme_slug LEFT JOIN o_rows w ON w.cik = c.cik LEFT JOIN o_market m ON m.cik = c.cik
+LEFT JOIN o_arr_t x ON x.cik = c.cik LEFT JOIN o_fair v ON v.cik = c.cik LEFT JOIN o_price p ON p.cik = c.cik LEFT JOIN o_moat mo ON mo.cik = c.cik LEFT JOIN o_unc u ON u.cik = c.cik
+LEFT JOIN (SELECT cik, count(*) AS n FROM o_factors GROUP BY cik) f ON f.cik = c.cik""")
 def d4(t):
     d = marts.stock_detail(tables(t, True), periods(t), _date())
-    return d.select("cik", "ticker", "industry_slug", r("score").alias("score"), "category", "price", "market_cap", r("operating_margin").alias("operating_margin"),
-                    "price_state", "score_state", "fair_value_status", "moat_signal")
+    rounded = {c: r(c, 4 if c == "fair_value_per_share" else 6) for c in ("score", "completeness", "gross_margin", "operating_margin", "fcf_margin", "fair_value_per_share", "price_ratio", "margin_of_safety", "uncertainty_score")}
+    d = d.withColumns({**rounded, "n_factors": F.when(F.col("factors").isNotNull(), F.size("factors")).otherwise(0), "n_flags": F.when(F.col("score_as_of").isNotNull(), F.when(F.col("flags").isNotNull(), F.size("flags")).otherwise(0))})
+    return d.drop("gross_profit", "operating_income", "fcf", "cash", "total_debt", "assumptions", "moat_evidence", "uncertainty_drivers", "factors", "flags")
 
 
 _DERIVED = """SELECT *, CASE WHEN (cik + year(period_end) * 4 + quarter(period_end)) % 6 = 0 THEN 'cumulative_diff' ELSE 'Revenues' END AS mark FROM {0}"""
@@ -206,7 +226,7 @@ def d6(t):
     return top.select("cik", "ticker", "name", "industry_slug", r("score").alias("score"), "has_critical")
 
 
-@query("D6_rationale_texts")
+@query("D6_rationale_texts", "SELECT c.cik, r.rationale FROM (SELECT cik FROM o_cand ORDER BY o_cand.score DESC, cik LIMIT 5) c LEFT JOIN o_rationale r ON r.cik = c.cik")
 def d6b(t):
     src = tables(t)
     return marts.top_candidates(cut(marts.company_rows(src)), src["score_factors"]).select("cik", "rationale")

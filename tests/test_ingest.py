@@ -39,7 +39,7 @@ def test_job_keeps_old_rows_and_records_both_ends(spark, tmp_path):
     later = [(*r[:8], date(2001, 6, 1), *r[9:]) for r in bad]
     got = ingest.ingest_fundamentals(spark, str(tmp_path), [], universe, spark.read.parquet(f"{out}/facts"), spark.createDataFrame(later, schemas.FACT), out, buckets=4)
     assert {r.cik: r.status for r in got.collect()} == {1: "periods", 2: "failed", 3: "periods"}
-    held = {(r.cik, r.revenue) for r in spark.read.parquet(f"{out}/periods").where("period_type = 'A'").collect()}
+    held = {(r.cik, r.revenue) for r in writes.read_table(spark, f"{out}/periods").where("period_type = 'A'").collect()}
     assert held == {(1, 800.0), (2, 400.0), (3, 400.0)}
     runs = writes.runs(spark.read.parquet(f"{out}/runs")).orderBy("started_at").collect()
     assert [r.status for r in runs] == ["succeeded", "succeeded"] and runs[0].stats["quarter_errors"].startswith("2000q1: FileNotFoundError")

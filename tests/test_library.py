@@ -48,6 +48,8 @@ def test_exact_statistics_of_a_hot_group(spark):
         assert med[g] == statistics.median(vs)
         assert mad[g] == statistics.median([abs(v - statistics.median(vs)) for v in vs])
     assert set(med) == {"hot", "b", "d"}
+    rank = lambda **kw: {(r.g, r.v): (r.n_at, r.n_below, r.n_total) for r in distribution.value_ranks(df, ["g"], "v", **kw).collect()}
+    assert rank(slice_rows=7) == rank() == {(g, v): (vs.count(v), sum(x < v for x in vs), len(vs)) for g, vs in groups.items() for v in vs}
     probes = spark.createDataFrame([("hot", 25.3), ("b", 0.0), ("b", 9.0), ("zzz", 1.0)], "g string, v double")
     got = {(r.g, r.v): r.percentile for r in distribution.percentiles(df, ["g"], "v", probes).collect()}
     assert got[("hot", 25.3)] == sum(v < 25.3 for v in groups["hot"]) / 3000
@@ -120,7 +122,7 @@ def test_rerun_replaces_its_date_only(spark, tmp_path):
     flags = lambda rows: spark.createDataFrame(rows, "cik long, as_of date, code string")
     writes.write_run({"red_flags": flags([(1, D("2001-01-01"), "A"), (1, D("2001-02-01"), "A"), (1, D("2001-02-01"), "B")])}, str(tmp_path))
     writes.write_run({"red_flags": flags([(1, D("2001-02-01"), "B")])}, str(tmp_path))
-    assert sorted((str(r.as_of), r.code) for r in spark.read.parquet(f"{tmp_path}/red_flags").collect()) == [("2001-01-01", "A"), ("2001-02-01", "B")]
+    assert sorted((str(r.as_of), r.code) for r in writes.read_table(spark, f"{tmp_path}/red_flags").collect()) == [("2001-01-01", "A"), ("2001-02-01", "B")]
 
 
 def test_failure_guard(spark):

@@ -52,6 +52,22 @@ def test_clusters_are_transitive_and_keep_the_fullest_date(spark):
     assert out == {"2000-03-25": "2000-03-31", "2000-03-31": "2000-03-31", "2000-04-18": "2000-03-31"}
 
 
+def test_components_of_interleaved_chains(spark):
+    draw, rows = random.Random(3), []
+    for cik in range(60):
+        days = draw.sample(range(200), 25)
+        rows += [(cik, draw.choice(["instant", "duration"]), D("2000-01-01") + dt.timedelta(a), D("2000-01-01") + dt.timedelta(b)) for a in days for b in days if 0 < b - a <= 20 and draw.random() < 0.12]
+    want = {}
+    for cik, ax, a, b in rows:
+        want.setdefault((cik, ax), {})
+        at = want[cik, ax]
+        old = {at.setdefault(a, a), at.setdefault(b, b)}
+        at.update({d: min(old) for d, c in at.items() if c in old})
+    got = dates.components(spark.createDataFrame(rows, "cik long, axis string, a date, b date")).collect()
+    assert {(r.cik, r.axis, r.period_end): r.cluster for r in got} == {(*k, d): c for k, at in want.items() for d, c in at.items()}
+    assert len(got) == sum(map(len, want.values()))
+
+
 def statements(spark, rows, field="ocf"):
     return spark.createDataFrame([(1, field, lo, hi, hi - lo + 1, float(v), D("2000-01-01")) for lo, hi, v in rows],
                                  "cik long, field string, lo int, hi int, span int, value double, period_end date")
