@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Steps keyed by company: what `cut_by` makes inside keeps its partitioning, and joins, groups and windows whose keys contain it need no exchange.
+    Adaptive execution would forget the partitioning, so it rests here; a company's rows are few, so no partition is skewed."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def cut_by(df: DataFrame, key: str = "cik") -> DataFrame:
+    """`cut`, dealt by the key; dealt anew only where the plan has lost it."""
+    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))

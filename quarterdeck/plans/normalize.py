@@ -10,7 +10,7 @@ from quarterdeck.config import FLOW_FIELDS, INGEST, PERIOD_FIELDS
 from quarterdeck.functions.lineitems import flow_lines
 from quarterdeck.functions.scalars import finite
 from quarterdeck.operators import carry, dates, facts as fact_ops, periods as period_ops, ytd
-from quarterdeck.operators.checkpoint import cut
+from quarterdeck.operators.checkpoint import co_partitioned, cut, cut_by
 from quarterdeck.operators.upsert import latest_facts
 
 FLOW_LINES = [*FLOW_FIELDS, "shares_diluted"]
@@ -65,21 +65,23 @@ def normalize(log: DataFrame) -> Normalized:
     """All steps are keyed by company. A company fails when a fact that no later filing replaced is faulty, or when a stretch of it can't be
     solved; it then has no rows at all, and the others are not touched."""
     tracked = cut(latest_facts(log.where(F.col("tag").isin(t.TRACKED_TAGS))).withColumn("fault", fact_fault()))
-    latest = tracked.where("fault IS NULL").drop("fault")
-    dated = cut(dates.canonical_dates(latest, cut))
-    values = cut(fact_ops.one_value(dated))
-    keys = ["cik", "qtrs", "period_end"]
-    flows = cut(flow_lines(fact_ops.wide(values.where("qtrs <> 0"), keys, t.FLOW_TAGS), keys))
-    quarters, rejected, unsolved = ytd.resolve_quarters(flows, ytd.fiscal_grid(values), cut)
-    faulty = tracked.where("fault IS NOT NULL").select("cik", F.concat_ws(" ", "fault", F.lit("of"), "tag").alias("reason"))
-    failures = cut(faulty.unionByName(unsolved).groupBy("cik").agg(F.min("reason").alias("reason")))
-    lines = quarter_lines(flows, quarters).unionByName(annual_lines(flows, rejected)).join(failures, "cik", "left_anti")
-    stocks = carry.stock_lines(carry.carried(values, dates.absent_tags(dated), lines.select("cik", "period_end")))
-    rows = lines.join(stocks, ["cik", "period_end"], "left").withColumn("fcf", F.col("ocf") - F.col("capex"))
-    rows = rows.withColumn("source_tags", _tag_map([*FLOW_LINES, *STOCK_LINES, "derived"]))
-    checked = cut(period_ops.validate(rows.select("cik", "period_end", "period_type", *PERIOD_FIELDS, "source_tags")))
-    ttm = period_ops.validate(period_ops.trailing_year(checked.where("period_type = 'Q'").drop("rejections")))
-    out = checked.unionByName(ttm)
+    with co_partitioned(log.sparkSession):
+        tracked = cut_by(tracked)  # of a frame without a plan, whose columns keep their identity and so their partitioning
+        latest = tracked.where("fault IS NULL").drop("fault")
+        dated = cut_by(dates.canonical_dates(latest, cut_by))
+        values = cut_by(fact_ops.one_value(dated))
+        keys = ["cik", "qtrs", "period_end"]
+        flows = cut_by(flow_lines(fact_ops.wide(values.where("qtrs <> 0"), keys, t.FLOW_TAGS), keys))
+        quarters, rejected, unsolved = ytd.resolve_quarters(flows, ytd.fiscal_grid(values), cut_by)
+        faulty = tracked.where("fault IS NOT NULL").select("cik", F.concat_ws(" ", "fault", F.lit("of"), "tag").alias("reason"))
+        failures = cut_by(faulty.unionByName(unsolved).groupBy("cik").agg(F.min("reason").alias("reason")))
+        lines = cut_by(quarter_lines(flows, quarters).unionByName(annual_lines(flows, rejected)).join(failures, "cik", "left_anti"))
+        stocks = carry.stock_lines(carry.carried(values, dates.absent_tags(dated), lines.select("cik", "period_end")))
+        rows = lines.join(stocks, ["cik", "period_end"], "left").withColumn("fcf", F.col("ocf") - F.col("capex"))
+        rows = rows.withColumn("source_tags", _tag_map([*FLOW_LINES, *STOCK_LINES, "derived"]))
+        checked = cut_by(period_ops.validate(rows.select("cik", "period_end", "period_type", *PERIOD_FIELDS, "source_tags")))
+        ttm = period_ops.validate(period_ops.trailing_year(checked.where("period_type = 'Q'").drop("rejections")))
+        out = checked.unionByName(ttm)
     return Normalized(out.drop("rejections"), period_ops.rejections(out), failures)
 
 

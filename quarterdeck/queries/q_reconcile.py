@@ -7,7 +7,7 @@ from quarterdeck import tags as tg
 from quarterdeck.config import FLOW_FIELDS, PERIOD_FIELDS
 from quarterdeck.functions.lineitems import flow_lines
 from quarterdeck.operators import carry, dates, facts as fo, ytd
-from quarterdeck.operators.checkpoint import cut
+from quarterdeck.operators.checkpoint import co_partitioned, cut, cut_by
 from quarterdeck.operators.upsert import latest_facts
 from quarterdeck.plans import normalize as norm
 from quarterdeck.queries.common import ORACLE
@@ -70,11 +70,15 @@ def latest(t):
 
 
 def dated(t):
-    return cut(dates.canonical_dates(cut(latest(t)), cut))
+    rows = cut(latest(t))
+    with co_partitioned(t.spark):
+        return cut_by(dates.canonical_dates(cut_by(rows), cut_by))
 
 
 def values(t):
-    return cut(fo.one_value(dated(t)))
+    d = dated(t)
+    with co_partitioned(t.spark):
+        return cut_by(fo.one_value(d))
 
 
 @query("J12_date_pairs", "SELECT cik, axis, a, b FROM o_pairs")
@@ -157,8 +161,9 @@ def j10(t):
 
 def carried(t):
     d = dated(t)
-    v = cut(fo.one_value(d))
-    return cut(carry.carried(v, dates.absent_tags(d), probes(v)))
+    with co_partitioned(t.spark):
+        v = cut_by(fo.one_value(d))
+        return cut_by(carry.carried(v, dates.absent_tags(d), probes(v)))
 
 
 @query("R11_carry_forward", "SELECT cik, period_end, tag, value FROM o_use")
@@ -240,7 +245,8 @@ def flows(t, v=None):
 
 def numbered(t):
     v = values(t)
-    return cut(ytd.islands(ytd.constraints(cut(flows(t, v)), ytd.fiscal_grid(v))))
+    with co_partitioned(t.spark):
+        return cut_by(ytd.islands(ytd.constraints(cut_by(flows(t, v)), ytd.fiscal_grid(v))))
 
 
 @query("W5_fiscal_grid", "SELECT cik, period_end, pos, adjacent FROM o_grid0")
@@ -345,8 +351,9 @@ SELECT f.cik, f.period_end, 'A' AS period_type, {', '.join(f'CASE WHEN NOT {_gon
 def resolved(t):
     """(flows, quarters, rejections) as the whole chain makes them."""
     v = values(t)
-    f = cut(flows(t, v))
-    return f, *[cut(x) for x in ytd.resolve_quarters(f, ytd.fiscal_grid(v), cut)[:2]]
+    with co_partitioned(t.spark):
+        f = cut_by(flows(t, v))
+        return f, *[cut_by(x) for x in ytd.resolve_quarters(f, ytd.fiscal_grid(v), cut_by)[:2]]
 
 
 _YEAR = """SELECT cik, period_end, CAST(year(period_end) AS INT) AS y, CASE WHEN (cik + quarter(period_end)) % 5 = 0 THEN -3 * operating_income ELSE operating_income END AS v FROM a_q"""
