@@ -93,23 +93,31 @@ def industry_rows(rows: DataFrame) -> DataFrame:
 
 
 def opportunity_map(rows: DataFrame, industries: DataFrame, themes: DataFrame) -> DataFrame:
-    """Themes in display order, their industries by average score. Themes without industries stay."""
+    """Themes with their industries; those without one stay. `in_map_order` puts it in the order it is shown in."""
     named = industries.select(C("slug").alias("industry_slug"), C("name").alias("industry_name"), "theme_slug").join(industry_rows(rows), "industry_slug")
     heads = themes.select(C("slug").alias("theme_slug"), C("name").alias("theme_name"), "display_order")
-    return heads.join(named, "theme_slug", "left").orderBy("display_order", F.coalesce("avg_score", F.lit(-1.0)).desc(), "industry_slug")
+    return heads.join(named, "theme_slug", "left")
+
+
+def in_map_order(rows: DataFrame) -> DataFrame:
+    """T4: themes in display order, their industries by average score."""
+    return rows.orderBy("display_order", F.coalesce("avg_score", F.lit(-1.0)).desc(), "industry_slug")
 
 
 GROUPS = ["LEADER", "CHALLENGER", "EMERGING", "INSUFFICIENT", "UNSCORED"]
 
 
 def industry_table(rows: DataFrame, ttm: DataFrame) -> DataFrame:
-    """Members of every industry in groups; within a group by score, unscored ones by market cap."""
+    """Members of every industry in groups, with what they are ordered by: score, or market cap for unscored ones. `in_table_order` sorts them."""
     latest = best_row(ttm.select("cik", "period_end", "revenue", "gross_profit", "fcf", "total_debt"), ["cik"], [C("period_end")])
     group = (F.when(C("category").isNull(), "UNSCORED").when(~sufficient("completeness", MIN), "INSUFFICIENT").otherwise(C("category")))
     order = F.when(C("group") == "UNSCORED", F.coalesce("market_cap", F.lit(-1.0))).otherwise(F.coalesce("score", F.lit(-1.0)))
     out = rows.join(latest, "cik", "left").withColumn("group", group).withColumn("group_rank", F.array_position(F.array(*[F.lit(g) for g in GROUPS]), C("group")).cast("int"))
-    return out.withColumns({"gross_margin": ratio("gross_profit", "revenue"), "fcf_margin": ratio("fcf", "revenue"), "sort_value": order}).orderBy(
-        "industry_slug", "group_rank", C("sort_value").desc(), "cik")
+    return out.withColumns({"gross_margin": ratio("gross_profit", "revenue"), "fcf_margin": ratio("fcf", "revenue"), "sort_value": order})
+
+
+def in_table_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("industry_slug", "group_rank", C("sort_value").desc(), "cik")
 
 
 def preview(table: DataFrame, n: int = 10) -> DataFrame:
