@@ -36,5 +36,5 @@ def test_statements_agree(spark):
         duckdb.sql(f"create or replace view {name} as select * from '{DIR}/{name}.parquet'")
     for name, statement in oracles.STATEMENTS.items():
         want, got = duckdb.sql(statement).df(), queries.QUERIES[name](spark, DIR).toPandas()
-        key = got.columns[0]
+        key = list(got.columns)
         pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want[got.columns].sort_values(key).reset_index(drop=True), check_dtype=False)
