@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarterdeck.llm import (op1_quality_rules, op2_jaccard_join, op3_token_store, op4_chat_format, op5_language_id, op6_quality_classifier, op7_decontamination, op8_pii,
                              op9_byte_bpe, op10_license_scan, queries)
 from quarterdeck.llm.components import components
+from quarterdeck.llm.pieces import PieceCache
 
 SMALL = "/root/testdata/sf0.001"
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,6 +114,31 @@ def test_cached_pieces_are_the_librarys():
     cache.most = 450_000
 
 
+def test_new_pieces_are_merged_by_the_run():
+    class Counted:
+        def __init__(self, model):
+            self.held, self.calls = model, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.held, name)
+
+    from tokenizers import Tokenizer
+
+    rng, tokenizer = random.Random(7), Tokenizer.from_file(PATHS[0])
+    cache = PieceCache(tokenizer, op3_token_store.BYTE_LEVEL)
+    cache.model = Counted(cache.model)
+    ends = ["", ".", ",'", "s' ", "\nÀb", "7", "漢", "\xff", "ɏ", "\t", "$$$", "é_"]
+    rows = [" ".join("".join(rng.choices("abcdeéß", k=rng.randint(1, 9))) + rng.choice(ends) for _ in range(20)).encode() for _ in range(500)] + [None, b"", b" ", b"a ", b" \xe2\x82 b\xff", b"  a"]
+    wanted = [e.ids for e in tokenizer.encode_batch([(t or b"").decode("utf-8", "replace") for t in rows], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.texts(rows)] == wanted and cache.model.calls <= 4
+    for name, value in (("run", 7), ("complete", False)):
+        again = PieceCache(tokenizer, op3_token_store.BYTE_LEVEL, most=50)
+        setattr(again, name, value)
+        assert [np.frombuffer(x, "<u4").tolist() for k in range(0, 506, 100) for x in again.texts(rows[k : k + 100])] == wanted
+    assert cache.texts([]) == []
+
+
 def test_code_lengths():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 4_000_000_000], "<u4")
     control, data = op3_token_store.pack(ranks)
