@@ -1,12 +1,18 @@
-"""The pipeline's stages, each held against a plain version on its own input; clean documents stay."""
+"""The pipeline's stages, each held against a plain version on its own input; clean documents stay. Workers give back memory after a task."""
+import os
+import re
+from pathlib import Path
+
 import brute
 import corpus_pipeline as pipeline
 import duckdb
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from quarterdeck.llm import op9_byte_bpe, oracles, queries
+from quarterdeck.llm.staging import mapped
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,6 +37,33 @@ def test_stages(spark):
     assert set(tokens) == set(private) and all(r["round_trip"] and r["n_tokens"] == len(plain.encode_ordinary(private[i]["text"])) for i, r in tokens.items())
 
 
+def test_idle_workers_hold_no_spare_memory(spark):
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def start():
+        first = held()
+
+        def work(batch):
+            for _ in range(3):
+                arrays = [pa.array([bytes([k % 251]) * 20_000], pa.binary()) for k in range(6_000)]  # 120 MB
+            most = held()
+            del arrays
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (os.getpid(), first, most)], names=["pid", "first", "most"])
+
+        return work
+
+    def idle(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held()])], names=["pid", "mb"])
+
+    used = mapped(spark.range(0, 1, 1, 1), "pid long, first long, most long", start).collect()
+    found = spark.range(0, 64, 1, 64).mapInArrow(idle, "pid long, mb long").collect()
+    for r in used:
+        after = [x["mb"] for x in found if x["pid"] == r["pid"]]
+        assert r["most"] - r["first"] > 100 and after and max(after) - r["first"] < 40
+
+
 def test_statements_agree(spark):
     for name in ("documents", "benchmark", "conversations"):
         duckdb.sql(f"create or replace view {name} as select * from '{DIR}/{name}.parquet'")
