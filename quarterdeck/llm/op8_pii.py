@@ -19,7 +19,7 @@ pattern is given: what is found depends on the seeds and on the corpus alone.
 
 Everything is DataFrame functions: positions come from the lengths of the parts between matches, graph rounds are aggregations over edges,
 which are few, and patterns are joined with occurrences, never collected. A token or a pattern may be on most of the edges, so these joins are dealt in
-`PARTS` parts each. The text is read twice, once for spans and candidates, once to count the patterns' words; counting compares 64-bit hashes of
+`PARTS` parts each. Tables of the graph are written as few files, however many partitions a shuffle has. The text is read twice, once for spans and candidates, once to count the patterns' words; counting compares 64-bit hashes of
 words, which enter scores only.
 
 Patterns are written so that no text makes them backtrack: runs are possessive, and a match starts where a run does or the last match ended.
@@ -37,6 +37,7 @@ from .textstats import SPACE
 
 KINDS = ["email", "ip", "card", "phone"]
 PARTS = 16
+EDGES = 250_000  # that many occurrences of patterns come to one file, if all cores have one
 HELD = 1_000_000  # that many hashes of wanted patterns are broadcast; more are joined after counting
 # The base patterns, without backtracking.
 PATTERNS = {
@@ -173,8 +174,9 @@ def counted(form: Column, key: Column) -> Column:
     return F.when(form == "pair", hashed("pair", F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))).when(form == "mark", hashed("mark", key)).otherwise(hashed("word", key))
 
 
-def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, total): how often the wanted words, pairs and marks (column h) occur in the column __text, before or after anything. One pass."""
+def frequencies(texts: DataFrame, wanted: DataFrame, files: int | None = None) -> DataFrame:
+    """(h, total): how often the wanted words, pairs and marks (column h) occur in the column __text, before or after anything. One pass. Counts of
+    broadcast hashes come in `files` partitions at most, if given."""
     plain = F.lower(F.regexp_replace("__text", r"[^\p{L}\p{N}\s@]++", ""))
     tokens = F.split(F.regexp_replace(plain, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "#"), SPACE)
     rows = texts.select(F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(tokens, lambda w: w != "")).alias("w"), marks(F.col("__text")).alias("m"))
@@ -182,7 +184,8 @@ def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = rows.select(F.explode(F.concat(F.transform("w", lambda w: hashed("word", w)), pairs, F.transform("m", lambda m: hashed("mark", m)))).alias("h"))
     some = wanted.select("h").distinct()
     if some.count() <= HELD:
-        return rows.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.count("*").alias("total"))
+        found = rows.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.count("*").alias("total"))
+        return found.coalesce(files) if files else found
     return rows.groupBy("h").agg(F.count("*").alias("total")).join(some, "h", "left_semi")
 
 
@@ -201,24 +204,25 @@ def sides(best: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).agg(*[(1 - F.coalesce(F.max(F.when(side(F.col("form")) == s, F.col("p"))), F.lit(0.0))).alias(s) for s in ("left", "right", "shape")])
 
 
-def patterns(found: DataFrame, texts: DataFrame, rounds: int = 8, least: float = 0.2) -> DataFrame:
-    """(form, key, p): the patterns' scores after the rounds. `found`: rows of keyed(). Both sides of the graph are aggregated before they meet."""
-    edges = staged(found.groupBy("form", "key", "token").agg(F.count("*").alias("n"), F.max("seed").cast("double").alias("seed")), "op8-edges")
+def patterns(found: DataFrame, texts: DataFrame, files: int, rounds: int = 8, least: float = 0.2) -> DataFrame:
+    """(form, key, p): the patterns' scores after the rounds. `found`: rows of keyed(). Both sides of the graph are aggregated before they meet; each table
+    is at most `files` files."""
+    edges = staged(found.groupBy("form", "key", "token").agg(F.count("*").alias("n"), F.max("seed").cast("double").alias("seed")), "op8-edges", files)
     known = edges.groupBy("token").agg(F.max("seed").alias("known"))
     met = edges.groupBy("form", "key").agg(F.sum("n").alias("seen"), F.count("*").alias("tokens")).filter("tokens > 1")
-    wanted = staged(met.withColumn("h", counted(F.col("form"), F.col("key"))), "op8-wanted")
+    wanted = staged(met.withColumn("h", counted(F.col("form"), F.col("key"))), "op8-wanted", files)
     shapes = F.col("form").isin("shape", "class")
-    counts = staged(frequencies(texts, wanted.filter(~shapes)), "op8-counts")
+    counts = staged(frequencies(texts, wanted.filter(~shapes), files), "op8-counts")
     totals = wanted.filter(~shapes).join(counts, "h").unionByName(wanted.filter(shapes).withColumn("total", F.col("seen")))
-    held = staged(totals.filter(F.col("seen") >= least * F.col("total")).select("form", "key", F.greatest("seen", "total").alias("total")), "op8-held")
-    links = staged(dealt(dealt(edges.drop("seed"), held, ["form", "key"], ["token"]), known, ["token"], ["form", "key"]), "op8-links")
+    held = staged(totals.filter(F.col("seen") >= least * F.col("total")).select("form", "key", F.greatest("seen", "total").alias("total")), "op8-held", files)
+    links = staged(dealt(dealt(edges.drop("seed"), held, ["form", "key"], ["token"]), known, ["token"], ["form", "key"]), "op8-links", files)
     for done in (edges, wanted, counts):
         discard(done)
     rated, scored = links.withColumn("r", F.col("known")), None
     for k in range(rounds):
-        scored = staged(rated.groupBy("form", "key").agg((F.sum(F.col("n") * F.col("r")) / (F.first("total") + 2)).alias("p")), "op8-patterns")
+        scored = staged(rated.groupBy("form", "key").agg((F.sum(F.col("n") * F.col("r")) / (F.first("total") + 2)).alias("p")), "op8-patterns", files)
         if k + 1 < rounds:
-            met = staged(sides(dealt(links, scored, ["form", "key"], ["token"]).select("token", "form", "p"), ["token"]), "op8-weights")
+            met = staged(sides(dealt(links, scored, ["form", "key"], ["token"]).select("token", "form", "p"), ["token"]), "op8-weights", files)
             others = [F.when(side(F.col("form")) == s, F.lit(1.0)).otherwise(F.col(s)) for s in ("left", "right", "shape")]
             rated = dealt(links, met, ["token"], ["form", "key"]).withColumn("r", 1 - (1 - F.col("known")) * others[0] * others[1] * others[2])
     return scored
@@ -234,14 +238,15 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, sc
     base = base.withColumn("__found", occurrences(F.col("__cells"), F.col("__starts"), F.col("__base")))
     rows = staged(base.drop("__text", "__base", "__starts", "__cells").withColumn("__row", F.monotonically_increasing_id()), "op8-rows")
     found = keyed(rows.select("__row", F.explode("__found").alias("o")).select("__row", "o.*"))
-    good = patterns(found, texts)
-    rows = rows.drop("__found")
+    candidates = rows.agg(F.sum(F.size("__found"))).first()[0] or 0
+    good = patterns(found, texts, max(rows.sparkSession.sparkContext.defaultParallelism, len(SIDES) * candidates // EDGES))
+    read, rows = rows.rdd.getNumPartitions(), rows.drop("__found")
     if good.isEmpty():
         return rows.drop("__row").withColumn("context", F.array().cast(_SPANS))
     reached = sides(dealt(found.filter(~F.col("seed")), good, ["form", "key"], ["__row", "start"]), ["__row", "start", "end"])
     reached = reached.filter((1 - F.col("left") * F.col("right") * F.col("shape") >= score) & (1 - F.col("left") * F.col("right") >= score / 2))
     added = reached.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
-    return rows.join(added, "__row", "left").withColumn("context", F.coalesce("context", F.array().cast(_SPANS))).drop("__row")
+    return rows.join(added, "__row", "left").withColumn("context", F.coalesce("context", F.array().cast(_SPANS))).drop("__row").coalesce(max(read, 1))
 
 
 def listed(kinds: list[str]) -> Column:

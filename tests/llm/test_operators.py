@@ -208,6 +208,29 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(len(found[i]) == (i >= 20) for i in range(24))
 
 
+def test_graph_tables_are_few_files(spark, monkeypatch):
+    rows = [(i, f"w{i} account number 41111111111111{11 if i < 20 else 12} and a{i} total of 12345{i}6 b{i}@c.de by {i}5551234 {i}") for i in range(200)]
+    files, staged = {}, op8_pii.staged
+
+    def counted(df, name, *most):
+        files[name] = max(files.get(name, 0), len((out := staged(df, name, *most)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(op8_pii, "staged", counted)
+    set_to = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in set_to}
+    for name, value in set_to.items():
+        spark.conf.set(name, value)
+    try:
+        found = op8_pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+        parts = found.rdd.getNumPartitions()
+        assert {r["doc_id"]: bool(r["email"]) for r in found.collect()} == {i: True for i in range(200)}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(files) == 8 and max(files.values()) <= spark.sparkContext.defaultParallelism >= parts, files
+
+
 def test_encoding(spark, docs):
     import tiktoken
 
