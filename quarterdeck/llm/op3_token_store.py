@@ -28,6 +28,8 @@ from .pieces import PieceCache
 from .staging import appended, discard, mapped, new_path, staged
 
 END = 2
+# Bytes of text that are looked up at a time, and new pieces that the library merges in a call; they decide speed only.
+TEXT, RUN = 4 << 20, 100_000
 # Fixed value: the split rule of a byte-level pre-tokenizer.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MASKS = np.array([[[k <= (c >> 2 * i & 3) for k in range(4)] for i in range(4)] for c in range(256)])
@@ -43,7 +45,7 @@ def library(path: str) -> PieceCache:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _HELD[path] = PieceCache(tokenizer, BYTE_LEVEL)
+        _HELD[path] = PieceCache(tokenizer, BYTE_LEVEL, run=RUN)
     return _HELD[path]
 
 
@@ -79,7 +81,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", end: int = END, widt
 
         return work
 
-    return appended(docs, text, [T.StructField("ids", T.BinaryType())], start)
+    return appended(docs, text, [T.StructField("ids", T.BinaryType())], start, TEXT)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:

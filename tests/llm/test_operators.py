@@ -5,8 +5,10 @@ import textwrap
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarterdeck.llm import (op1_quality_rules, op2_jaccard_join, op3_token_store, op4_chat_format, op5_language_id, op6_quality_classifier, op7_decontamination, op8_pii,
                              op9_byte_bpe, op10_license_scan, queries)
@@ -208,6 +210,20 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(len(found[i]) == (i >= 20) for i in range(24))
 
 
+def test_store_looks_up_a_batch_at_once(spark, monkeypatch):
+    rng = random.Random(9)
+    given = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(330)) for _ in range(1000)]
+    starts, calls, cache = [], [], op3_token_store.library(PATHS[0])
+    monkeypatch.setattr("quarterdeck.llm.staging.mapped", lambda df, schema, start: starts.append(start))
+    monkeypatch.setattr(cache, "merged", lambda stream, sizes: calls.append(len(sizes)) or PieceCache.merged(cache, stream, sizes))
+    op3_token_store.encoded(spark.createDataFrame([("",)], "text string"), PATHS[0])
+    made = list(starts[0]()(pa.RecordBatch.from_pydict({"text": given[:250]})))
+    assert len(made) == 1 and len(calls) == 2 and calls[0] > 80_000
+    plain = Tokenizer.from_file(PATHS[0]).encode_batch_fast(given[:250], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in made[0].column(1).to_pylist()] == [[*p.ids, 2] for p in plain]
+    assert len(list(starts[0]()(pa.RecordBatch.from_pydict({"text": given})))) == 1  # 3.3 MB
+
+
 def test_graph_tables_are_few_files(spark, monkeypatch):
     rows = [(i, f"w{i} account number 41111111111111{11 if i < 20 else 12} and a{i} total of 12345{i}6 b{i}@c.de by {i}5551234 {i}") for i in range(200)]
     files, staged = {}, op8_pii.staged
